@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tesseral.llm import mixing
+from tesseral.llm import decontaminate, mixing
 from tesseral.llm.sql import ORACLES
 
 
@@ -19,8 +20,23 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_spans(docs, _table(spark, sf_dir, "benchmark"))
+    items = F.array_sort(F.array_distinct(F.col("spans.item_id")))
+    n_hit = decontaminate.hit_words(F.col("spans")).cast("long")
+    return found.select(
+        "doc_id",
+        F.col("n_words").cast("long").alias("n_words"),
+        n_hit.alias("n_hit"),
+        F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing}
+    return {"op1_mixing": op1_mixing, "op2_decontamination": op2_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -41,4 +41,24 @@ SELECT k.doc_id, k.size, coalesce(t.total, 0) AS source_size, coalesce(t.target,
 FROM k LEFT JOIN t ON k.source IS NOT DISTINCT FROM t.source
 """
 
-ORACLES = {"op1_mixing": OP1}
+OP2 = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+g AS (
+  SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, least(10, len(words)) AS n, array_to_string(words[i : i + least(10, len(words)) - 1], ' ') AS gram
+  FROM (SELECT item_id, words, unnest(range(1, len(words) - least(10, len(words)) + 2)) AS i FROM b WHERE len(words) > 0)),
+k AS (SELECT DISTINCT n FROM g),
+p AS (
+  SELECT doc_id, n, i, array_to_string(words[i : i + n - 1], ' ') AS gram
+  FROM (SELECT doc_id, words, n, unnest(range(1, len(words) - n + 2)) AS i FROM w, k WHERE len(words) >= n)),
+h AS (SELECT doc_id, p.n, i, item FROM p JOIN g ON p.gram = g.gram AND p.n = g.n),
+c AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS x FROM h) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN c ON w.doc_id = c.doc_id LEFT JOIN t ON w.doc_id = t.doc_id
+"""
+
+ORACLES = {"op1_mixing": OP1, "op2_decontamination": OP2}
