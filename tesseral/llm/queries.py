@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesseral.llm import decontaminate, mixing
+from tesseral.llm import decontaminate, mixing, ngram_join
 from tesseral.llm.sql import ORACLES
 
 
@@ -35,8 +35,13 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.link(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op2_decontamination": op2_decontamination}
+    return {"op1_mixing": op1_mixing, "op2_decontamination": op2_decontamination, "op3_ngram_jaccard": op3_ngram_jaccard}
 
 
 def oracle_sql() -> dict[str, str]:
