@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesseral.llm import decontaminate, mixing, ngram_join
+from tesseral.llm import decontaminate, mixing, ngram_join, url_rules
 from tesseral.llm.sql import ORACLES
 
 
@@ -40,8 +40,17 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), "component_id")
 
 
+#: The contract's rules.
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "rule string, verdict string")
+    return url_rules.judge(_table(spark, sf_dir, "pages").select("page_id", "url"), rules)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op2_decontamination": op2_decontamination, "op3_ngram_jaccard": op3_ngram_jaccard}
+    return {"op1_mixing": op1_mixing, "op2_decontamination": op2_decontamination, "op3_ngram_jaccard": op3_ngram_jaccard, "op6_url_filter": op6_url_filter}
 
 
 def oracle_sql() -> dict[str, str]:
