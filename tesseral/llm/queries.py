@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesseral.llm import decontaminate, mixing, ngram_join, url_rules
+from tesseral.llm import decontaminate, mixing, ngram_join, token_store, url_rules
 from tesseral.llm.sql import ORACLES
 
 
@@ -49,8 +49,19 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(_table(spark, sf_dir, "pages").select("page_id", "url"), rules)
 
 
+def tokenizer_file() -> str:
+    """The public vocabulary that the token queries use; the operator takes any tokenizer file with this pre-tokenization."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.tokens_of(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op2_decontamination": op2_decontamination, "op3_ngram_jaccard": op3_ngram_jaccard, "op6_url_filter": op6_url_filter}
+    return {"op1_mixing": op1_mixing, "op2_decontamination": op2_decontamination, "op3_ngram_jaccard": op3_ngram_jaccard, "op6_url_filter": op6_url_filter, "op10_token_ids": op10_token_ids}
 
 
 def oracle_sql() -> dict[str, str]:
