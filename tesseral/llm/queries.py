@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesseral.llm import decontaminate, langid, mixing, ngram_join, token_store, url_rules
+from tesseral.llm import decontaminate, langid, mixing, ngram_join, quality_rules, token_store, url_rules
 from tesseral.llm.sql import ORACLES
 
 
@@ -68,12 +68,19 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_rules.train(docs, _table(spark, sf_dir, "labels"), ~langid.held_out(F.col("doc_id")))
+    scored = quality_rules.score(docs, model)
+    return scored.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), F.col("quality_score").alias("score"), F.col("quality").alias("predicted"))
+
+
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.tokens_of(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op2_decontamination": op2_decontamination, "op3_ngram_jaccard": op3_ngram_jaccard, "op6_url_filter": op6_url_filter, "op8_language": op8_language, "op10_token_ids": op10_token_ids}
+    return {"op1_mixing": op1_mixing, "op2_decontamination": op2_decontamination, "op3_ngram_jaccard": op3_ngram_jaccard, "op6_url_filter": op6_url_filter, "op8_language": op8_language, "op9_quality": op9_quality, "op10_token_ids": op10_token_ids}
 
 
 def oracle_sql() -> dict[str, str]:
