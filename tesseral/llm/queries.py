@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesseral.llm import decontaminate, langid, mixing, ngram_join, quality_rules, token_store, url_rules
+from tesseral.llm import ann, decontaminate, html_blocks, langid, mixing, ngram_join, quality_rules, secrets, token_store, url_rules
 from tesseral.llm.sql import ORACLES
+from tesseral.llm.work import Scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +41,16 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), "component_id")
 
 
+def op4_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), html_blocks.train()).select("page_id", "url", "text", "n_chars")
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    found = secrets.scan(docs, secrets.train(secrets.Lexicon.from_pieces(piece_file())))
+    return found.select("doc_id", F.inline("findings"))
+
+
 #: The contract's rules.
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
@@ -49,6 +60,12 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(_table(spark, sf_dir, "pages").select("page_id", "url"), rules)
 
 
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    indexed = ann.index(points, Scratch(spark, "ann").path("index"))
+    return ann.search(indexed, points.filter(F.col("vec_id") % 20 == 0))
+
+
 def tokenizer_file() -> str:
     """The public vocabulary that the token queries use; the operator takes any tokenizer file with this pre-tokenization."""
     import public_tokenizers
@@ -80,7 +97,8 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op2_decontamination": op2_decontamination, "op3_ngram_jaccard": op3_ngram_jaccard, "op6_url_filter": op6_url_filter, "op8_language": op8_language, "op9_quality": op9_quality, "op10_token_ids": op10_token_ids}
+    found = [op1_mixing, op2_decontamination, op3_ngram_jaccard, op4_html_blocks, op5_secrets, op6_url_filter, op7_ann, op8_language, op9_quality, op10_token_ids]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
