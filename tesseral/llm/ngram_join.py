@@ -15,9 +15,13 @@ Signatures that many sets hold, from passages that many texts share, need not al
 sets hold them, a similar pair also agrees in one of the first d + 1 signatures of each, so each set keeps the rarest
 d + 1 of its frequent signatures and all infrequent ones.
 
-A group of m sets with one signature is not expanded into pairs: each is compared with the group's first set (a star).
-Only groups that then still hold sets of several components compare the sets outside their main component with the
-others. Every comparison is the exact Jaccard similarity of the two whole texts.
+A group of m sets with one signature is not expanded into pairs: each is compared with the group's hub, the set that holds
+most frequent signatures (a star). What is then outside the hub's component is compared with the others of its group: in groups
+with an infrequent signature pair by pair; in the others by the differences to the hub. With D(x) the symmetric difference
+of x and hub h, x and y are similar only if D(x) and D(y) share (|D(x)| + |D(y)| - (|x| + |y|) / 7) / 2 shingles or more, as 1 / 7 is
+(1 - t) / (1 + t). A set x outside the hub's component has |D(x)| > (|x| + |h|) / 7, so y shares with x one of its
+(|D(y)| + (|y| - |h|) / 7) / 2 + 1 rarest differences, and those of different copies are different: a large group of copies
+that are too far apart makes few pairs. Every comparison is the exact Jaccard similarity of the two whole texts.
 """
 
 from __future__ import annotations
@@ -211,6 +215,22 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield kept
 
 
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (hub, y, text_hub, text_y), rows (hub, y, n_hub, n_y, size, shingle) of the symmetric difference."""
+    for batch in batches:
+        hubs, others, parts, sizes = [], [], [], []
+        for i in range(batch.num_rows):
+            x, y = (_one_set(batch.column(k)[i].as_py()) for k in (2, 3))
+            parts.append(np.setxor1d(x, y, assume_unique=True))
+            sizes.append((len(x), len(y), len(parts[-1])))
+            hubs.append(batch.column(0)[i].as_py())
+            others.append(batch.column(1)[i].as_py())
+        if parts:
+            count = [len(p) for p in parts]
+            numbers = [np.repeat(np.array(c, np.int64), count) for c in (hubs, others)] + [np.repeat(np.array(c, np.int32), count) for c in zip(*sizes, strict=True)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, numbers), pa.array(np.concatenate(parts).view(np.int64))], ["hub", "y", "n_hub", "n_y", "size", "shingle"])
+
+
 def _one_set(text: str) -> np.ndarray:
     data = np.frombuffer((text or "").encode(), np.uint8)
     return shingle_sets(data, np.array([0, len(data)]))[0]
@@ -227,7 +247,8 @@ def _distance(n: F.Column) -> F.Column:
 
 
 def _shared_signatures(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """Rows (token, node, n) of the signatures that two sets or more hold, frequent ones thinned by the order of rarity."""
+    """Rows (token, node, n, often) of the signatures that two sets or more hold, frequent ones thinned by the order of rarity;
+    often is the number of frequent signatures of the set, and null for infrequent signatures."""
     tokens = docs.select("text").mapInArrow(_signatures, "token long, node long, n int, parts int")
     group = Window.partitionBy("token")
     shared = tokens.select("*", F.count(F.lit(1)).over(group).alias("m"), F.min("node").over(group).alias("_low"), F.max("node").over(group).alias("_high"))
@@ -238,7 +259,8 @@ def _shared_signatures(docs: DataFrame, scratch: Scratch) -> DataFrame:
     often = often.select("*", F.row_number().over(rarest).alias("_nth"), F.count(F.lit(1)).over(whole).alias("_often"))
     kept = often.filter(F.abs("parts") - F.col("_often") + F.col("_nth") <= _distance(F.col("n")) + 1)
     seldom = shared.filter(F.col("m") <= FREQUENT)
-    return scratch.write(seldom.select("token", "node", "n").unionByName(kept.select("token", "node", "n")), "kept")
+    seldom = seldom.select("token", "node", "n", F.lit(None).cast("long").alias("often"))
+    return scratch.write(seldom.unionByName(kept.select("token", "node", "n", F.col("_often").alias("often"))), "kept")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -246,12 +268,25 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, scratch: Scrat
     one = sets.select(F.col("node").alias("x"), F.col("first").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
     two = sets.select(F.col("node").alias("y"), F.col("first").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
     ids = pairs.join(one, "x").join(two, "y").select("a", "b", "n_a", "sketch_a", "n_b", "sketch_b").mapInArrow(_near, "a long, b long")
-    ids = scratch.write(ids, f"{name}-pairs")
+    both = _joined_texts(scratch.write(ids, f"{name}-pairs"), docs, scratch, name)
+    return scratch.write(both.mapInArrow(_similar, "a long, b long"), name)
+
+
+def _with_texts(pairs: DataFrame, sets: DataFrame, docs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Rows (x, y, text_x, text_y) of pairs of nodes."""
+    one = sets.select(F.col("node").alias("x"), F.col("first").alias("a"))
+    two = sets.select(F.col("node").alias("y"), F.col("first").alias("b"))
+    ids = scratch.write(pairs.distinct().join(one, "x").join(two, "y"), f"{name}-named")
+    both = _joined_texts(ids.select("a", "b").distinct(), docs, scratch, name)
+    return both.join(ids, ["a", "b"]).select("x", "y", "text_a", "text_b")
+
+
+def _joined_texts(ids: DataFrame, docs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Rows (a, b, text_a, text_b) of pairs of documents."""
     wanted = broadcast_if_small(scratch.write(ids.select(F.col("a").alias("doc_id")).union(ids.select("b")).distinct(), f"{name}-ids"))
     texts = scratch.write(docs.join(wanted, "doc_id", "left_semi"), f"{name}-texts")
     both = ids.join(texts.withColumnsRenamed({"doc_id": "a", "text": "text_a"}), "a")
-    both = both.join(texts.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b").select("a", "b", "text_a", "text_b")
-    return scratch.write(both.mapInArrow(_similar, "a long, b long"), name)
+    return both.join(texts.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b").select("a", "b", "text_a", "text_b")
 
 
 def link(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -269,24 +304,21 @@ def link(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFra
 
     kept = _shared_signatures(docs.filter("doc_id is not null"), scratch)
     group = Window.partitionBy("token")
-    star = kept.select("token", "node", "n", F.min(F.struct("node", "n")).over(group).alias("hub"))
+    star = kept.select("token", "node", "n", F.max(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "node", "n")).over(group).alias("hub"))
     star = star.filter("node != hub.node").select(F.col("hub.node").alias("x"), F.col("node").alias("y"), F.col("hub.n").alias("_nx"), "n")
     tried = scratch.write(star.filter(_sizes_agree("_nx", "n")).select("x", "y").distinct(), "star")
     links = _verified(tried, sets, docs, scratch, "star-links")
     reach = scratch.write(connected(links, scratch, "star"), "star-components")
 
-    # groups that still hold several components: their sets outside the main one, against all others
+    # groups that still hold several components: their sets outside the hub's, against all others
     named = sets.select("node", "first").join(reach.select(F.col("id").alias("first"), "component"), "first")
     inside = kept.join(named.select("node", "component"), "node", "left")
     inside = inside.withColumn("component", F.struct(F.col("component").isNull().alias("alone"), F.coalesce("component", "node").alias("id")))
-    parted = inside.groupBy("token", "component").agg(F.count(F.lit(1)).alias("m"))
-    parted = parted.groupBy("token").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-    open_rows = scratch.write(inside.join(parted.select("token", "main"), "token"), "open")
-    left = open_rows.filter("component != main").select("token", F.col("node").alias("p"), F.col("n").alias("_np"), F.col("component").alias("_cp"))
-    right = open_rows.select("token", F.col("node").alias("q"), F.col("n").alias("_nq"), F.col("component").alias("_cq"))
-    across = left.join(right, on=(left.token == right.token) & (F.col("_cp") != F.col("_cq")) & _sizes_agree("_np", "_nq"))
-    across = across.select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y")).distinct()
-    across = scratch.write(across.join(tried, ["x", "y"], "left_anti"), "across")
+    hubs = inside.groupBy("token").agg(F.max(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "node", "n", "component")).alias("hub"), F.min("component").alias("_low"), F.max("component").alias("_high"))
+    hubs = hubs.filter("_low < _high").select("token", F.col("hub.node").alias("hub"), F.col("hub.n").alias("n_hub"), F.col("hub.component").alias("main"))
+    open_rows = scratch.write(inside.join(hubs, "token").withColumn("met", F.col("often").isNotNull() & _sizes_agree("n", "n_hub")), "open")
+    across = _pairs_in_groups(open_rows).unionByName(_pairs_by_difference(open_rows, sets, docs, scratch)).distinct()
+    across = scratch.write(across.join(tried.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), ["x", "y"], "left_anti"), "across")
     more = _verified(across.unionByName(_pairs_by_size(known, sets)).distinct(), sets, docs, scratch, "links")
 
     copies = known.join(sets.drop("n"), ["node", "check"]).select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
@@ -300,6 +332,33 @@ def link(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFra
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(linked, F.coalesce("_c", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def _pairs_in_groups(rows: DataFrame) -> DataFrame:
+    """Pairs (x, y) outside the hub's component: of groups with infrequent signatures, and of sets that a hub of another size was not compared with."""
+    side = lambda a, c, n, met: (F.col("node").alias(a), F.col("component").alias(c), F.col("n").alias(n), F.col("met").alias(met))
+    left = rows.filter("component != main").select("token", *side("p", "_cp", "_np", "_mp"))
+    right = rows.select(F.col("token").alias("_t"), *side("q", "_cq", "_nq", "_mq"))
+    pairs = left.join(right, (F.col("token") == F.col("_t")) & (F.col("_cp") != F.col("_cq")) & ~(F.col("_mp") & F.col("_mq")) & _sizes_agree("_np", "_nq"))
+    return pairs.select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y")).distinct()
+
+
+def _pairs_by_difference(rows: DataFrame, sets: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs (x, y) of sets that were compared with one hub, x outside its component, which share a rare difference to the hub."""
+    met = rows.filter("met and node != hub").select("hub", F.col("node").alias("y"), "component", (F.col("component") != F.col("main")).alias("out")).distinct()
+    met = scratch.write(met, "met")
+    pairs = _with_texts(met.select(F.col("hub").alias("x"), "y"), sets, docs, scratch, "met")
+    apart = scratch.write(pairs.mapInArrow(_differences, "hub long, y long, n_hub int, n_y int, size int, shingle long"), "differences")
+    often = apart.groupBy("hub", "shingle").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    some = apart.join(often, ["hub", "shingle"], "left").withColumn("m", F.coalesce("m", F.lit(1)))
+    some = some.withColumn("_nth", F.row_number().over(Window.partitionBy("hub", "y").orderBy("m", "shingle")))
+    share = (100 + SIMILARITY) * F.col("size") + (100 - SIMILARITY) * (F.col("n_y") - F.col("n_hub"))
+    rare = some.filter((F.col("m") > 1) & (2 * (100 + SIMILARITY) * (F.col("_nth") - 1) <= share))
+    rare = rare.join(met.select("hub", "y", "component"), ["hub", "y"]).select("hub", "shingle", F.col("y").alias("q"), F.col("n_y").alias("_nq"), F.col("component").alias("_cq"))
+    out = apart.join(met.filter("out").select("hub", "y", "component"), ["hub", "y"])
+    out = out.select(F.col("hub").alias("_h"), F.col("shingle").alias("_s"), F.col("y").alias("p"), F.col("n_y").alias("_np"), F.col("component").alias("_cp"))
+    pairs = out.join(rare, (F.col("hub") == F.col("_h")) & (F.col("shingle") == F.col("_s")) & (F.col("_cp") != F.col("_cq")) & _sizes_agree("_np", "_nq"))
+    return pairs.select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y")).distinct()
+
+
 def _pairs_by_size(keys: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (x, y) of sets that are short of parts and all sets of similar size, by equi-join on the size."""
     sizes = F.sequence(F.ceil(F.col("n") * SIMILARITY / 100), F.floor(F.col("n") * 100 / SIMILARITY))
