@@ -19,8 +19,8 @@ A group of m sets with one signature is not expanded into pairs: each is compare
 most frequent signatures (a star). What is then outside the hub's component is compared with the others of its group: in groups
 with an infrequent signature pair by pair; in the others by the differences to the hub. With D(x) the symmetric difference
 of x and hub h, x and y are similar only if D(x) and D(y) share (|D(x)| + |D(y)| - (|x| + |y|) / 7) / 2 shingles or more, as 1 / 7 is
-(1 - t) / (1 + t). A set x outside the hub's component has |D(x)| > (|x| + |h|) / 7, so y shares with x one of its
-(|D(y)| + (|y| - |h|) / 7) / 2 + 1 rarest differences, and those of different copies are different: a large group of copies
+(1 - t) / (1 + t). A set x outside the hub's component has |D(x)| > (|x| + |h|) / 7, so they share at least one, and it is among
+the rarest differences of both, so many as leave fewer than they must share. Copies' own differences are rare: a large group of copies
 that are too far apart makes few pairs. Every comparison is the exact Jaccard similarity of the two whole texts.
 """
 
@@ -350,12 +350,15 @@ def _pairs_by_difference(rows: DataFrame, sets: DataFrame, docs: DataFrame, scra
     often = apart.groupBy("hub", "shingle").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     some = apart.join(often, ["hub", "shingle"], "left").withColumn("m", F.coalesce("m", F.lit(1)))
     some = some.withColumn("_nth", F.row_number().over(Window.partitionBy("hub", "y").orderBy("m", "shingle")))
-    share = (100 + SIMILARITY) * F.col("size") + (100 - SIMILARITY) * (F.col("n_y") - F.col("n_hub"))
-    rare = some.filter((F.col("m") > 1) & (2 * (100 + SIMILARITY) * (F.col("_nth") - 1) <= share))
-    rare = rare.join(met.select("hub", "y", "component"), ["hub", "y"]).select("hub", "shingle", F.col("y").alias("q"), F.col("n_y").alias("_nq"), F.col("component").alias("_cq"))
-    out = apart.join(met.filter("out").select("hub", "y", "component"), ["hub", "y"])
-    out = out.select(F.col("hub").alias("_h"), F.col("shingle").alias("_s"), F.col("y").alias("p"), F.col("n_y").alias("_np"), F.col("component").alias("_cp"))
-    pairs = out.join(rare, (F.col("hub") == F.col("_h")) & (F.col("shingle") == F.col("_s")) & (F.col("_cp") != F.col("_cq")) & _sizes_agree("_np", "_nq"))
+    some = some.filter("m > 1").join(met.select("hub", "y", "component", "out"), ["hub", "y"])
+    side = lambda *names: [F.col(c).alias(n) for c, n in zip(("y", "n_y", "size", "_nth", "component"), names, strict=True)]
+    left = some.filter("out").select(F.col("hub").alias("_h"), F.col("shingle").alias("_s"), *side("p", "_np", "_sp", "_kp", "_cp"))
+    right = some.select("hub", "shingle", *side("q", "_nq", "_sq", "_kq", "_cq"))
+    # what both differences must share, and hence how many of either's rarest can be missed
+    most = 2 * (100 + SIMILARITY)
+    shared = (100 + SIMILARITY) * (F.col("_sp") + F.col("_sq")) - (100 - SIMILARITY) * (F.col("_np") + F.col("_nq"))
+    among_rarest = (most * (F.col("_kp") - 1) <= most * F.col("_sp") - shared) & (most * (F.col("_kq") - 1) <= most * F.col("_sq") - shared)
+    pairs = left.join(right, (F.col("hub") == F.col("_h")) & (F.col("shingle") == F.col("_s")) & (F.col("_cp") != F.col("_cq")) & among_rarest & _sizes_agree("_np", "_nq"))
     return pairs.select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y")).distinct()
 
 
