@@ -1,0 +1,3 @@
+"""Typed values over regions of four-dimensional space-time, on Spark."""
+
+__version__ = "0.0.2"
