@@ -1,0 +1,251 @@
+"""The corpus operators on small tables with the awkward cases, against brute force where SQL has no form."""
+
+from __future__ import annotations
+
+import itertools
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from conftest import agree
+from pyspark.sql import functions as F
+
+from tesseral.llm import ann, components, decontaminate, html_blocks, langid, mixing, ngram_join, quality_rules, secrets, token_store, url_rules
+from tesseral.llm.queries import URL_RULES, oracle_sql, piece_file, queries, tokenizer_file
+from tesseral.llm.work import Scratch
+
+
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
+def test_sql(spark, duck, sf_dir, name):
+    agree(queries()[name](spark, sf_dir), duck, oracle_sql()[name])
+
+
+WORDS = [f"w{i}" for i in range(400)]
+
+
+def corpus() -> list[tuple]:
+    """Copies, near copies, chains, empty, wordless, short and very long texts, null and repeated ids."""
+    r = random.Random(3)
+    base = [r.choice(WORDS) for _ in range(120)]
+    rows: list[tuple] = [(None, " ".join(base), None, "x"), (1, None, "s", "x"), (2, "", "s", "x"), (3, " \t\n", None, "x"), (4, "one two", "s", "x"), (5, "ONE  two", "s", "x"), (5, "ONE  two", "s", "x")]
+    for k in range(12):
+        near = list(base)
+        for i in range(k):
+            near[r.randrange(len(near))] = f"own{k}-{i}"
+        rows.append((10 + k, " ".join(near), f"s{k % 3}", "x"))
+    rows.append((40, " ".join(r.choice(WORDS) for _ in range(60_000)), "s1", "x"))
+    rows += [(50 + k, " ".join(r.choice(WORDS) for _ in range(r.randrange(1, 60))), "s2", "x") for k in range(10)]
+    return rows
+
+
+SCHEMA = "doc_id long, text string, source string, size string"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(corpus(), SCHEMA)
+
+
+def shingles(text: str | None) -> set:
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def components_by_hand(rows: list[tuple[int, str | None]]) -> dict:
+    sets = [(i, shingles(t)) for i, t in rows if i is not None]
+    top = {i: i for i, _ in sets}
+
+    def find(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for (i, a), (j, b) in itertools.combinations(sets, 2):
+        if a and b and 100 * len(a & b) >= 75 * len(a | b):
+            x, y = sorted((find(i), find(j)))
+            top[y] = x
+    return {i: find(i) for i in top}
+
+
+def test_ngram_join(docs):
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.link(docs).collect() if r["doc_id"] is not None}
+    assert got == components_by_hand([r[:2] for r in corpus()])
+    kept = ngram_join.first_of_each(docs).filter("doc_id is not null")
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for c in got.values()})
+
+
+def test_large_group_of_near_copies(spark):
+    """A group whose copies lie around the threshold from each other, larger than a frequent signature."""
+    r = random.Random(8)
+    base = [r.choice(WORDS) for _ in range(150)]
+    rows = []
+    for k in range(60):
+        near = list(base)
+        for i in range(r.randrange(9)):
+            near[r.randrange(len(near))] = f"own{k}-{i}"
+        rows.append((k, " ".join(near)))
+    got = {x["doc_id"]: x["component_id"] for x in ngram_join.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = components_by_hand(rows)
+    assert got == want and len(set(want.values())) > 3
+
+
+def test_components(spark):
+    links = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 100), (7, 7), (200, 100)]
+    found = components.connected(spark.createDataFrame(links, "a long, b long"), Scratch(spark, "t"), "c")
+    assert {r["id"]: r["component"] for r in found.collect()} == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100, 200: 100}
+
+
+def test_mixing(spark, docs):
+    out = mixing.mix(docs)
+    rows = out.collect()
+    assert len(rows) == docs.count() and out.columns == ["doc_id", "text", "source", "size", "source_size", "target", "copies", "taken"]
+    assert sorted(map(str, rows)) == sorted(map(str, mixing.mix(docs).collect()))
+    for source in {r["source"] for r in rows}:
+        mine = [r for r in rows if r["source"] == source]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= max(r["size"] for r in mine)
+        assert all(0 <= r["taken"] <= 2 * r["size"] for r in mine)
+    assert mixing.mix(docs.filter("false")).count() == 0
+
+
+def test_decontamination(spark):
+    item = " ".join(f"q{i}" for i in range(14))
+    bench = spark.createDataFrame([(1, item), (2, "Short Item"), (2, "Short Item"), (3, None), (4, "...")], "item_id long, text string")
+    text = f"before {item.upper()}! after short-item"
+    docs = spark.createDataFrame([(1, text, "s"), (2, None, "s"), (3, "", "s"), (4, "q0 q1 q2 clean", "s"), (5, ("x " * 50_000) + item, "s")], "doc_id long, text string, spans string")
+    rows = {r["doc_id"]: r for r in decontaminate.find_spans(docs, bench).collect()}
+    hit = {k: len({i for s in r["spans"] for i in range(s["first"], s["first"] + s["n"])}) for k, r in rows.items()}
+    assert hit == {1: 16, 2: 0, 3: 0, 4: 0, 5: 14}
+    assert {s["item_id"] for s in rows[1]["spans"]} == {"1", "2"}
+    kept = decontaminate.decontaminate(docs, bench)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 4]
+    assert decontaminate.decontaminate(docs, bench.filter("false")).count() == 5
+    small = {r["doc_id"]: set(r["spans"]) for r in decontaminate.find_spans(docs, bench, max_windows=1).collect()}
+    assert small == {k: set(r["spans"]) for k, r in rows.items()}
+    cut = {r["doc_id"]: r["text"] for r in decontaminate.cut_spans(docs, bench).collect()}
+    assert "q" not in cut[1].lower() and cut[4] == "q0 q1 q2 clean" and cut[2] is None
+
+
+@pytest.fixture(scope="module")
+def labeller():
+    return html_blocks.train(pages=400)
+
+
+def test_html(spark, labeller):
+    page = '<html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href="/a">Home</a></li></ul></nav><div class="cookie-notice">We use cookies</div><article><h1>Tit&amp;le</h1><p>First \n words <b>bold</b> here.<p>Second one, unclosed and longer than the first.<script>var t="</p>";</script></article><aside class="sidebar"><p>Related posts</p></aside><section class="comments"><p>Great post said I</p></section><footer>&copy; all rights reserved</footer></body></html>'
+    want = "Tit&le\nFirst words bold here.\nSecond one, unclosed and longer than the first."
+    assert html_blocks.main_text(page, labeller) == want
+    rows = [(1, page, "a"), (2, None, "b"), (3, "", "c"), (4, "<<<>>> <a", "d"), (5, "<article>" + "<p>Some long main text here.</p>" * 3000 + "</article>", "e"), (1, page, "a")]
+    out = html_blocks.extract(spark.createDataFrame(rows, "page_id long, html string, text string"), labeller)
+    assert out.columns == ["page_id", "html", "text", "n_chars"]
+    found = [(r["page_id"], r["text"]) for r in out.collect()]
+    assert found.count((1, want)) == 2 and (2, "") in found and (3, "") in found
+    assert dict(found)[5].count("\n") == 2999
+    assert all(r["n_chars"] == len(r["text"]) for r in out.collect())
+
+
+def test_html_held_out(labeller):
+    pages, labels = html_blocks.generated_pages(150, 99)
+    right = np.concatenate([(s >= 0.5) == y for s, y in zip(labeller.scores(pages), labels, strict=True)])
+    assert right.mean() > 0.98
+
+
+def test_secrets(spark):
+    scanner = secrets.train(secrets.Lexicon.from_pieces(piece_file()))
+    key = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    rows = [(1, f'é pre token = "{key}" post', "src1", "x"), (2, f"commit {key} merged by sha", "src1", "x"), (3, None, None, "x"), (4, "", "src1", "x"), (5, 'password = "changeme" and token: your_token_here', "docs/example.md", "x"), (6, "-----BEGIN RSA PRIVATE KEY-----", None, "x"), (7, "word " * 50_000, "src1", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, findings string")
+    got = {r["doc_id"]: r["findings"] for r in secrets.scan(docs, scanner).collect()}
+    assert [(f["start"], f["length"], f["secret"]) for f in got[1]] == [(15, 40, True)]
+    assert not any(f["secret"] for k in (2, 5) for f in got[k]) and got[6][0]["secret"]
+    assert got[3] == got[4] == got[7] == []
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(docs, scanner).collect()}
+    assert clean[1] == 'é pre token = "[secret]" post' and clean[2] == rows[1][1] and clean[3] is None
+    table = secrets.labelled_findings(600, seed=77)
+    x = np.array([secrets.features(*r[:5], scanner.lexicon) for r in table])
+    assert ((scanner.forest.predict(x) >= 0.5) == np.array([r[5] for r in table])).mean() > 0.95
+
+
+def test_urls(spark):
+    rules = spark.createDataFrame([*URL_RULES, (None, "block"), ("nohost", "block")], "rule string, verdict string")
+    urls = ["http://A.Example.NET/en/x?q#f", "https://example.net", "http://example.com/de/1", "x", None, "http://blog.some.org/fr/", "http://notexample.com/de/", "http://example.com/de/1"]
+    rows = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_rules.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()}
+    assert rows[0] == ("a.example.net", "/en/x", "example.net/en/", "allow")
+    assert rows[1] == ("example.net", "", None, "allow") and rows[2][2:] == ("example.com/de/", "block") == rows[7][2:]
+    assert rows[3] == rows[4] == ("", "", None, "allow") and rows[5][2] == "org/fr/" and rows[6][2] is None
+    none = url_rules.judge(spark.createDataFrame([(1, "http://a.net/")], "page_id long, url string"), rules.filter("false")).first()
+    assert none["verdict"] == "allow" and none["rule"] is None
+
+
+def test_ann(spark, sf_dir):
+    points = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding").limit(400).collect()
+    rows = [(r[0], list(r[1])) for r in points] + [(9000 + i, list(points[0][1])) for i in range(40)]
+    dim = len(rows[0][1])
+    bad = [(9100, None), (9120, [0.0] * dim), (9140, [float("nan")] + [1.0] * (dim - 1)), (9160, [None] + [1.0] * (dim - 1)), (None, [1.0] * dim), (9180, [1.0, 2.0])]
+    df = spark.createDataFrame(rows + bad + rows[:3], "vec_id long, embedding array<float>")
+    indexed = ann.index(df, Scratch(spark, "t").path("index"))
+    found = ann.search(indexed, df.filter("vec_id % 20 = 0")).collect()
+    v = {i: np.array(x, np.float32).astype(float) for i, x in rows}
+    good = total = 0
+    for q in [i for i in v if i % 20 == 0]:
+        mine = sorted((r["rank"], r["vec_id"], r["score"]) for r in found if r["query_id"] == q)
+        exact = sorted((-(v[q] @ x), i) for i, x in v.items() if i != q)[:20]
+        assert [m[0] for m in mine] == list(range(1, 21))
+        assert all(abs(m[2] - v[q] @ v[m[1]]) < 1e-12 for m in mine)
+        assert [(-m[2], m[1]) for m in mine] == sorted((-m[2], m[1]) for m in mine)
+        good += len({m[1] for m in mine} & {i for _, i in exact})
+        total += 20
+    assert good / total >= 0.95
+    assert {r["query_id"] for r in found} == {i for i in v if i % 20 == 0}
+
+
+def test_language(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = langid.train(docs, piece_file())
+    word = "die".encode()
+    scorer = model.scorer()
+    pieces = {p: i for i, p in enumerate(model.pieces)}
+
+    def every_segmentation(text: bytes) -> np.ndarray:
+        if not text:
+            return np.ones(len(model.languages))
+        return sum(model.chance[pieces[text[:k]]] * every_segmentation(text[k:]) for k in range(1, len(text) + 1) if text[:k] in pieces)
+
+    assert np.allclose(scorer.words([word])[0], np.log(every_segmentation(b" " + word)), atol=1e-4)
+    out = langid.classify(docs, model).filter(langid.held_out(F.col("doc_id"))).filter("lang is not null and lang_pred <> 'und'")
+    assert out.filter("lang = lang_pred").count() >= 0.9 * out.count()
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "12 34"), (4, "x" * 300_000)], "doc_id long, text string")
+    assert [r["lang_pred"] for r in langid.classify(odd, model).orderBy("doc_id").collect()][:3] == ["und"] * 3
+    assert langid.classify(odd, None).filter("lang_pred = 'und'").count() == 4
+
+
+def test_quality(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality_rules.train(docs, labels, ~langid.held_out(F.col("doc_id")))
+    scored = quality_rules.score(docs.withColumnRenamed("lang", "quality_score"), model)
+    rows = scored.join(labels.filter("quality is not null").withColumnRenamed("quality", "label"), "doc_id").filter(langid.held_out(F.col("doc_id"))).collect()
+    assert np.mean([(r["quality_score"] >= 0.5) == (r["label"] == 1) for r in rows]) > 0.85
+    table = quality_rules.with_features(docs, "text").select("doc_id", "_features.*").toPandas().sort_values("doc_id")
+    ours = [r["quality_score"] for r in quality_rules.score(docs.select("doc_id", "text"), model).orderBy("doc_id").collect()]
+    assert np.allclose(ours, model.predict(table[quality_rules.FEATURES].to_numpy(float)))
+    odd = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
+    assert len({r["quality_score"] for r in quality_rules.score(odd, model).collect()}) == 1
+    assert quality_rules.score(odd, None).first()["quality_score"] == 0.5
+
+
+def test_tokens(spark, docs):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_file())
+    tokenizer.encode_special_tokens = True
+    odd = [(1, "don't 'll  two  spaces\n\n x<|endoftext|>"), (2, None), (3, ""), (4, "Ünïcode 汉字 12３    z"), (7, "a" * 5000), (5, " \t\n"), (6, "it's we've I'm 's"), (3, "again")]
+    rows = odd + [r[:2] for r in corpus() if r[0] is not None and r[0] >= 10]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = token_store.tokens_of(df, tokenizer_file()).orderBy("start").collect()
+    start = 0
+    for row, (i, text) in zip(got, sorted(rows, key=lambda r: (r[0], r[1] or "")), strict=True):
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
+        assert (row["doc_id"], row["start"], row["n_tokens"], row["ids_crc32"]) == (i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    assert token_store.tokens_of(df.filter("false"), tokenizer_file()).count() == 0
