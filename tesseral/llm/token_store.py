@@ -24,14 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tesseral.llm.words import U, mix
-from tesseral.llm.work import Scratch, broadcast_if_small
+from tesseral.llm.words import U, mix, text_slices
+from tesseral.llm.work import Scratch
 
 END_ID = 2
-#: Characters that are pre-tokenized at once; a longer text is one piece.
-SLICE = 1 << 21
-#: Distinct pre-tokens whose ids a task remembers; then it starts anew.
-REMEMBERED = 1_500_000
+#: Bytes of text that are encoded at once; a longer text is one piece.
+SLICE = 1 << 19
+#: Distinct pre-tokens whose ids a task remembers, and then starts anew; those that are kept apart until they join the rest.
+REMEMBERED, RECENT = 500_000, 60_000
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 #: Writer settings: dictionary-encoded ids, 32 MB row groups, pages of at most 64 KB with their indexes.
 LAYOUT = {"parquet.block.size": str(32 << 20), "parquet.page.size": str(64 << 10), "parquet.enable.dictionary": "true", "compression": "zstd"}
@@ -121,11 +121,33 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known = np.zeros(0, U)
-        self.first = np.zeros(0, np.int64)
-        self.count = np.zeros(0, np.int64)
+        none = (np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int32))
+        self.tables = [none, none]  # sorted hashes, where their ids begin, and how many: the bulk, and the recent ones
         self.ids = np.zeros(0, np.int32)
 
+    def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each hash begin, -1 for unknown ones, and how many they are."""
+        first, count = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
+        for known, begin, many in self.tables:
+            if len(known):
+                at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                hit = known[at] == hashes
+                first[hit], count[hit] = begin[at[hit]], many[at[hit]]
+        return first, count
+
+    def _learn(self, hashes: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
+        first = np.concatenate((np.zeros(1, np.int64), np.cumsum(count)[:-1])) + len(self.ids)
+        self.ids = np.concatenate((self.ids, ids))
+        place = np.searchsorted(self.tables[1][0], hashes)
+        self.tables[1] = tuple(np.insert(t, place, v) for t, v in zip(self.tables[1], (hashes, first, count), strict=True))
+        if len(self.tables[1][0]) > RECENT:
+            both = [np.concatenate(t) for t in zip(*self.tables, strict=True)]
+            order = np.argsort(both[0], kind="stable")
+            bulk = tuple(t[order] for t in both)
+            ids = self.ids
+            self._forget()
+            self.tables[0], self.ids = bulk, ids
+
     def _library(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pre-tokens one after another, and how many each has. White space apart, pre-tokens are sent together,
         each after a line break, which keeps them apart; their byte lengths tell whose an id is."""
@@ -152,24 +174,18 @@ class Encoder:
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
         hashes, where, back = np.unique(_hashes(codes, starts), return_index=True, return_inverse=True)
-        if len(self.known) + len(hashes) > REMEMBERED:
+        if sum(len(t[0]) for t in self.tables) + len(hashes) > REMEMBERED:
             self._forget()
-        at = np.minimum(np.searchsorted(self.known, hashes), max(0, len(self.known) - 1))
-        new = self.known[at] != hashes if len(self.known) else np.ones(len(hashes), bool)
+        first, count = self._find(hashes)
+        new = first < 0
         if new.any():
             ends = np.append(starts[1:], len(codes))[where[new]].tolist()
             pieces = [codes[a:b].tobytes().decode("utf-32-le", "surrogatepass") for a, b in zip(starts[where[new]].tolist(), ends, strict=True)]
-            ids, count = self._library(pieces)
-            first = np.concatenate((np.zeros(1, np.int64), np.cumsum(count)[:-1])) + len(self.ids)
-            self.ids = np.concatenate((self.ids, ids))
-            place = np.searchsorted(self.known, hashes[new])
-            self.known = np.insert(self.known, place, hashes[new])
-            self.first = np.insert(self.first, place, first)
-            self.count = np.insert(self.count, place, count)
-            at = np.searchsorted(self.known, hashes)
-        each = self.count[at][back]
+            self._learn(hashes[new], *self._library(pieces))
+            first, count = self._find(hashes)
+        each = count[back]
         total = np.concatenate((np.zeros(1, np.int64), np.cumsum(each)))
-        source = np.repeat(self.first[at][back] - total[:-1], each) + np.arange(total[-1])
+        source = np.repeat(first[back] - total[:-1], each) + np.arange(total[-1])
         piece_at = np.searchsorted(starts, text_at)
         return self.ids[source], np.diff(total[piece_at])
 
@@ -186,17 +202,10 @@ def _with_end(ids: np.ndarray, count: np.ndarray, end_id: int) -> tuple[np.ndarr
     return np.insert(ids, upto[1:], end_id).astype(np.int32), upto + np.arange(len(upto))
 
 
-def _pieces(texts: list[str]) -> Iterator[list[str]]:
-    have: list[str] = []
-    size = 0
-    for t in texts:
-        if have and size + len(t) > SLICE:
-            yield have
-            have, size = [], 0
-        have.append(t)
-        size += len(t)
-    if have:
-        yield have
+def _pieces(texts: pa.Array) -> Iterator[list[str]]:
+    """The texts of a column, some SLICE bytes at a time."""
+    for first, last, _, _ in text_slices(texts, SLICE):
+        yield texts.slice(first, last - first).to_pylist()
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, *, key: str = "doc_id", text: str = "text", end_id: int = END_ID, partitions: int | None = None) -> None:
@@ -213,7 +222,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, *, key: str =
         part, start, known = TaskContext.get().partitionId(), 0, encoder(tokenizer_file)
         for batch in batches:
             row, texts = 0, batch.column(1)
-            for piece in _pieces(texts.to_pylist()):
+            for piece in _pieces(texts):
                 ids, count = known.encode(piece)
                 ids, at = _with_end(ids, count, end_id)
                 count = np.diff(at)

@@ -12,7 +12,7 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 2**64)
 _FOLD = U(0xD6E8FEB86659FD93)
 #: Bytes of text that are handled at once; a longer row is cut at separators, a longer word is not cut.
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 
 
 def byte_table(separators: bytes) -> np.ndarray:
