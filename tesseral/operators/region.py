@@ -1,8 +1,8 @@
 """Set algebra of regions: DataFrames with the columns z, i and the eight bounds of a box.
 
 A region is the union of its boxes. Operators that must not count a cell twice first make the boxes disjoint. Differences
-fold the boxes that meet a piece into the piece; a piece that more than FOLD boxes meet is split at its middle first,
-again and again, so no task holds an unbounded list and the universe is tiled only where a complement needs it.
+fold the boxes that meet a piece into the piece; a piece that more than FOLD boxes meet is split first, in space or in
+time, again and again, so no task holds an unbounded list and the universe is tiled only where a complement needs it.
 """
 
 from __future__ import annotations
@@ -19,8 +19,9 @@ from tesseral.operators.join import overlap_join, prefixed
 from tesseral.shared import written
 
 REGION = ["z", "i", *BOX]
-#: Boxes that are folded into one piece, and rounds of splitting (an axis of 2**32 cells has fewer).
-FOLD, ROUNDS = 64, 70
+#: Boxes that are folded into one piece.
+FOLD = 64
+_INSIDE = ["_space", *[f"_in_{d}" for d in AXES], "_middle"]
 
 
 def literal(spark: SparkSession, ids: list[Identifier]) -> DataFrame:
@@ -50,50 +51,60 @@ def intersection(a: DataFrame, b: DataFrame) -> DataFrame:
     return pairs.select(*shared_resolution("a_", "b_"), *clipped("a_", "b_"))
 
 
+def _bounds_inside() -> list:
+    """Of the boxes b_ that meet a piece a_: how many have a bound inside it along f, x and y together (_space), along each of these, and
+    along t, and a middle one of the bounds along t. A box without a bound inside covers the piece."""
+    inside = {d: (F.col(f"b_{d}_lo") > F.col(f"a_{d}_lo")) | (F.col(f"b_{d}_hi") < F.col(f"a_{d}_hi")) for d in AXES}
+    at = F.when(F.col("b_t_lo") > F.col("a_t_lo"), F.col("b_t_lo")).when(F.col("b_t_hi") < F.col("a_t_hi"), F.col("b_t_hi"))
+    each = [F.count_if(inside[d]).alias(f"_in_{d}") for d in AXES]
+    return [F.count_if(inside["f"] | inside["x"] | inside["y"]).alias("_space"), *each, F.percentile_approx(at, 0.5).alias("_middle")]
+
+
 def _halves(df: DataFrame) -> DataFrame:
-    """Each box cut, along f, x and y, at the coarsest grid line inside it; a box of one cell is cut at a finer zoom."""
-    cell = F.expr(f"shiftleft(1L, {FINEST} - z)")
-    one = F.lit(True)
-    for d in "fxy":
-        one = one & (F.col(f"{d}_hi") - F.col(f"{d}_lo") <= cell)
-    df = df.withColumn("_least", F.when(one, F.lit(1).cast("long")).otherwise(cell))
-    for d in "fxy":
+    """Each box cut where boxes that meet it have bounds: in space, at the coarsest grid line along each axis with a bound inside, or in
+    time, at the middle bound, if more boxes have one there. Every part has fewer bounds inside, or is shorter, than the box."""
+    df = df.withColumn("_time", F.col("_in_t") > F.col("_space"))
+    pair = lambda a, b: F.struct(a.alias("lo"), b.alias("hi"))
+    for d in AXES:
         lo, hi = f"{d}_lo", f"{d}_hi"
-        bit = F.floor(F.log2(F.expr(f"cast({lo} ^ ({hi} - 1) as double)"))).cast("int")
-        line = F.when((F.col(lo) < 0) & (F.col(hi) > 0), F.lit(0).cast("long")).otherwise(F.call_function("shiftleft", F.call_function("shiftright", F.col(hi) - 1, bit), bit))
-        pair = lambda a, b: F.struct(a.alias("lo"), b.alias("hi"))
-        halves = F.when(F.col(hi) - F.col(lo) > F.col("_least"), F.array(pair(F.col(lo), line), pair(line, F.col(hi)))).otherwise(F.array(pair(F.col(lo), F.col(hi))))
+        if d == "t":
+            cut, line = F.col("_time"), F.col("_middle")
+        else:
+            bit = F.floor(F.log2(F.expr(f"cast({lo} ^ ({hi} - 1) as double)"))).cast("int")
+            cut, line = ~F.col("_time") & (F.col(f"_in_{d}") > 0), F.when((F.col(lo) < 0) & (F.col(hi) > 0), F.lit(0).cast("long")).otherwise(F.call_function("shiftleft", F.call_function("shiftright", F.col(hi) - 1, bit), bit))
+        halves = F.when(cut, F.array(pair(F.col(lo), line), pair(line, F.col(hi)))).otherwise(F.array(pair(F.col(lo), F.col(hi))))
         df = df.withColumn("_h", F.explode(halves)).withColumns({lo: F.col("_h.lo"), hi: F.col("_h.hi")}).drop("_h")
-    return df.withColumn("z", F.greatest("z", coarsest_z())).drop("_least")
+    step = F.when(F.col("_time"), gcd(F.col("i"), F.col("_middle"))).otherwise(F.col("i"))
+    return df.withColumns({"z": F.greatest("z", coarsest_z()), "i": step}).select("_of", *REGION)
 
 
 def _subtract(a: DataFrame, b: DataFrame, earlier: bool) -> DataFrame:
     """The parts of a's boxes outside b; with ``earlier`` only boxes that come before a's in the order of bounds are taken away.
 
     a has one row per box; the pieces carry the box they are of, as their place in that order. A piece's resolution is the finest
-    of the boxes that cut it.
+    of the boxes that cut it. A heavy piece that no box covers has a bound inside, and splitting leaves fewer, so the rounds end.
     """
     pieces = a.withColumn("_of", box_struct())
     b = prefixed(_distinct(b), "b_")
     done: list[DataFrame] = []
-    for _ in range(ROUNDS):
+    while True:
         before = F.struct(*[f"b_{c}" for c in BOX]) < F.col("a__of") if earlier else None
         named = prefixed(pieces, "a_")
         pairs = overlap_join(named, b, on=before)
         key = [f"a_{c}" for c in ("_of", *BOX)]
         whole = F.max(contains("b_", "a_"))
-        counted = written(pairs.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), whole.alias("_gone")), "counted")
+        counted = written(pairs.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), whole.alias("_gone"), *_bounds_inside()), "counted")
         met = written(named.join(counted, key, "left"), "met")
         done.append(met.filter("_n is null").select(*[F.col(f"a_{c}").alias(c) for c in REGION]))
-        folds = met.filter(F.col("_n").isNotNull() & ~F.col("_gone") & (F.col("_n") <= FOLD)).drop("_n", "_gone")
+        folds = met.filter(F.col("_n").isNotNull() & ~F.col("_gone") & (F.col("_n") <= FOLD)).drop("_n", "_gone", *_INSIDE)
         lists = overlap_join(folds, b, on=before).groupBy(*[f"a_{c}" for c in ("_of", *REGION)]).agg(F.collect_list(box_struct("b_")).alias("_bs"), F.max("b_z").alias("b_z"), F.collect_set("b_i").alias("_is"))
         finest = F.aggregate("_is", F.col("a_i"), gcd)
         parts = lists.select(F.greatest("a_z", "b_z").alias("a_z"), finest.alias("a_i"), F.explode(minus(box_struct("a_"), F.col("_bs"))).alias("_p"))
         done.append(written(parts.select(F.col("a_z").alias("z"), F.col("a_i").alias("i"), "_p.*"), "parts"))
-        heavy = met.filter(F.col("_n").isNotNull() & ~F.col("_gone") & (F.col("_n") > FOLD)).drop("_n", "_gone")
+        heavy = met.filter(F.col("_n").isNotNull() & ~F.col("_gone") & (F.col("_n") > FOLD))
         if heavy.isEmpty():
             break
-        pieces = written(_halves(heavy.select(*[F.col(f"a_{c}").alias(c) for c in ("_of", *REGION)])), "pieces")
+        pieces = written(_halves(heavy.select(*[F.col(f"a_{c}").alias(c) for c in ("_of", *REGION)], *_INSIDE)), "pieces")
     return reduce(DataFrame.unionByName, done)
 
 

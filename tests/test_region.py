@@ -66,6 +66,22 @@ def test_many_boxes_meet_a_piece(spark, monkeypatch):
     assert volume(region.disjoint(a)) == len(cells(a))
 
 
+@pytest.mark.parametrize("z", [8, 31])
+def test_many_times_in_a_cell(spark, monkeypatch, z):
+    monkeypatch.setattr(region, "FOLD", 3)
+    r = random.Random(z)
+    at = lambda a, b: Identifier.new(z, Span(3, 3), Span(5, 5), Span(6, 6), 60, Span(a, b))
+    spans = [sorted((r.randint(0, 90), r.randint(0, 90))) for _ in range(12)]
+    covered = {m for a, b in spans for m in range(a, b + 1)}
+    many, cell = region.literal(spark, [at(a, b) for a, b in spans]), region.literal(spark, [at(0, 99)])
+    minutes = lambda df: sorted(m for i in df.collect() for m in range(i["t_lo"] // 60, i["t_hi"] // 60))
+    assert minutes(region.difference(cell, many)) == sorted(set(range(100)) - covered)
+    assert minutes(region.disjoint(many)) == sorted(covered)
+    left = region.difference(region.literal(spark, [Identifier.new(z, Span(3, 3), Span(5, 5), Span(6, 6))]), many).collect()
+    assert all(i["i"] and i["t_lo"] % i["i"] == 0 for i in left)
+    assert sorted(m for i in left for m in range(i["t_lo"] // 60, min(i["t_hi"] // 60, 100))) == sorted(set(range(100)) - covered)
+
+
 def test_empty(spark):
     a, none = region.literal(spark, some(3)), region.empty(spark)
     assert region.intersection(a, none).isEmpty()
