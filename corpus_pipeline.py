@@ -41,7 +41,7 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix as token ids in the file format, read back."""
-    return token_store.tokens_of(docs, tokenizer_file())
+    return token_store.tokens_of(docs, tokenizer_file(), literal=False)
 
 
 STAGES = [

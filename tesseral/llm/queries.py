@@ -93,7 +93,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_store.tokens_of(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file())
+    return token_store.tokens_of(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file(), literal=False)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

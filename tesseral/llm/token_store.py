@@ -7,11 +7,13 @@ documents, don't read the other pages.
 
 Encoding works on the vocabulary's pre-tokens: their borders are found in numpy (the pattern of the tokenizer
 file, written as rules on character classes), the tokenizers library encodes each distinct pre-token once for a task's texts, and the
-ids of the texts are gathered from those. The result is the library's own encoding of the whole text.
+ids of the texts are gathered from those. The result is the library's own encoding of the whole text: texts are cut at the added tokens of
+the tokenizer file, or, with ``literal``, special ones among them are text like any other (encode_special_tokens of the library).
 """
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
 import zlib
@@ -109,11 +111,16 @@ def _hashes(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
 class Encoder:
     """The tokenizers library behind a memory of distinct pre-tokens."""
 
-    def __init__(self, file: str):
+    def __init__(self, file: str, literal: bool = True):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = True  # those that count are cut out before
+        added = {t.content: (i, t) for i, t in self.tokenizer.get_added_tokens_decoder().items() if not (literal and t.special)}
+        if any(t.lstrip or t.rstrip or t.single_word for _, t in added.values()):
+            raise ValueError("added tokens that depend on what stands beside them are not supported")
+        self.added = {content: i for content, (i, _) in added.items()}
+        self.cuts = re.compile("(" + "|".join(re.escape(c) for c in sorted(added, key=len, reverse=True)) + ")") if added else None
         vocabulary = self.tokenizer.get_vocab()
         self.size = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of each id
         for piece, i in vocabulary.items():
@@ -168,6 +175,19 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and how many each has."""
+        if self.cuts is None or not any(c in t for c in self.added for t in texts):
+            return self._encode(texts)
+        split = [self.cuts.split(t) for t in texts]  # text, added token, text, added token ... text
+        ids, count = self._encode([part for parts in split for part in parts[::2]])
+        upto = np.cumsum(count)
+        last = np.cumsum([len(parts) // 2 + 1 for parts in split])  # a text's last part has no added token after it
+        between = np.ones(len(count), bool)
+        between[last - 1] = False
+        tokens = [self.added[t] for parts in split for t in parts[1::2]]
+        whole = np.diff(np.concatenate((np.zeros(1, np.int64), upto[last - 1])))
+        return np.insert(ids, upto[between], tokens).astype(np.int32), whole + np.array([len(parts) // 2 for parts in split])
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
         text_at = np.concatenate((np.zeros(1, np.int64), np.cumsum([len(t) for t in texts], dtype=np.int64)))
         starts = pre_tokens(codes, text_at)
@@ -190,11 +210,11 @@ class Encoder:
         return self.ids[source], np.diff(total[piece_at])
 
 
-def encoder(file: str) -> Encoder:
-    """One encoder per worker process and file."""
-    if file not in _KEPT:
-        _KEPT[file] = Encoder(file)
-    return _KEPT[file]
+def encoder(file: str, literal: bool = True) -> Encoder:
+    """One encoder per worker process, file and way with special tokens."""
+    if (file, literal) not in _KEPT:
+        _KEPT[file, literal] = Encoder(file, literal)
+    return _KEPT[file, literal]
 
 
 def _with_end(ids: np.ndarray, count: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -208,10 +228,10 @@ def _pieces(texts: pa.Array) -> Iterator[list[str]]:
         yield texts.slice(first, last - first).to_pylist()
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, *, key: str = "doc_id", text: str = "text", end_id: int = END_ID, partitions: int | None = None) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, *, key: str = "doc_id", text: str = "text", end_id: int = END_ID, partitions: int | None = None, literal: bool = True) -> None:
     """Writes the ids of docs' texts to path, in ascending id order (null ids first; rows that repeat an id by their text).
 
-    A null text counts as empty and has the end id alone. Other columns are not read; an empty table writes empty files.
+    A null text counts as empty and has the end id alone. With ``literal`` the special tokens' texts are plain text, else they give their ids. Other columns are not read; an empty table writes empty files.
     """
     spark = docs.sparkSession
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -219,7 +239,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, *, key: str =
     ordered = ordered.repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, start, known = TaskContext.get().partitionId(), 0, encoder(tokenizer_file)
+        part, start, known = TaskContext.get().partitionId(), 0, encoder(tokenizer_file, literal)
         for batch in batches:
             row, texts = 0, batch.column(1)
             for piece in _pieces(texts):

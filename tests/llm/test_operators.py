@@ -249,3 +249,18 @@ def test_tokens(spark, docs):
         assert (row["doc_id"], row["start"], row["n_tokens"], row["ids_crc32"]) == (i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
     assert token_store.tokens_of(df.filter("false"), tokenizer_file()).count() == 0
+
+
+def test_special_tokens_in_texts(spark, tmp_path):
+    """The registered query and the pipeline's stage give the ids of an unmodified tokenizer."""
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    tokenizer, end = Tokenizer.from_file(tokenizer_file()), "<|endoftext|>"
+    texts = [end, f"a {end} b", f"{end}{end}x  {end}", "plain", "", f"it'{end}s \n\n{end} \n y", "<|endof", "text|>", f"<|{end}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    want = [(i, zlib.crc32(np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes())) for i, t in enumerate(texts)]
+    for rows in (queries()["op10_token_ids"](spark, str(tmp_path)), dict(corpus_pipeline.STAGES)["token_ids"](spark, docs, str(tmp_path))):
+        assert sorted((r["doc_id"], r["ids_crc32"]) for r in rows.collect()) == want
