@@ -1,7 +1,7 @@
 """Secret scans: patterns find candidates in whole texts, a random forest removes false findings.
 
 A candidate is the value of an assignment to a telling name (password, token, key ...), a long run of characters that keys
-are written in, or a private key's opening line. The forest's inputs are the candidate's length and mix of characters, its
+are written in, or a private key from its opening line to its END line (without one, to the end of its base64 lines). The forest's inputs are the candidate's length and mix of characters, its
 character transitions (how likely they are in dictionary words, and how often letters and digits alternate), how much of it
 dictionary words cover, words of the document's path, and the neighbouring words. It is trained from labelled findings: a table
 of (candidate, before, after, path, label), of which a bounded sample is used, or generated ones where no table is at hand.
@@ -12,7 +12,8 @@ The dictionary holds the letter pieces of a public vocabulary. Scanning is a map
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from bisect import bisect_left
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,7 +31,10 @@ FINDING = T.StructType([T.StructField(n, t) for n, t in (("start", T.LongType())
 
 _ASSIGNED = re.compile(r"""(?i)(?:passw(?:or)?d|passphrase|pwd|secret|token|credential|api[_-]?key|access[_-]?key|private[_-]?key|auth)[\w-]{0,20}["']?[ \t]*(?:=>|:=|=|:)[ \t]*["']?([^\s"'<>,;]{6,})""")
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
-_BLOCK = re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----")
+_BLOCK = re.compile(r"-----(BEGIN|END) [A-Z ]{0,30}PRIVATE KEY-----")
+# after an opening line without an END line: header lines, if base64 lines follow, then these and a last, shorter one
+_GAP = r"""(?:\s|\\[rn]|["'>#*,;])+"""
+_BODY = re.compile(rf"""(?:(?:{_GAP}[A-Za-z][A-Za-z-]{{1,30}}: [^\n\\]{{0,200}}){{0,9}}(?:{_GAP}[A-Za-z0-9+/]{{32,}}={{0,2}})+(?:{_GAP}[A-Za-z0-9+/]{{1,80}}={{0,2}}(?=[ \t"'\\,;]*(?:[\r\n\\]|$)))?)?""")
 _WORD = re.compile(r"[a-z]+")
 
 # Words that speak for and against a secret, by where they stand.
@@ -42,10 +46,21 @@ _PATHS = frozenset("test tests example examples sample samples doc docs fixture
 def candidates(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of all candidates of a text, in order; a place that several patterns find is reported once."""
     found: dict[tuple[int, int], str] = {}
-    for m in _BLOCK.finditer(text):
-        found[m.span()] = "key block"
+    lines = list(_BLOCK.finditer(text))
+    for m, following in zip(lines, [*lines[1:], None], strict=False):
+        if m.group(1) == "BEGIN":
+            ended = following is not None and following.group(1) == "END"
+            found[m.start(), following.end() if ended else _BODY.match(text, m.end()).end()] = "key block"
+    blocks = sorted(found)
     for m in _ASSIGNED.finditer(text):
         a, b = m.span(1)
+        k = bisect_left(blocks, (a + 1,))
+        if k and blocks[k - 1][1] > a:
+            continue  # inside a block
+        if k < len(blocks) and blocks[k][0] < b:
+            b = blocks[k][0]
+            if b < a + 6:
+                continue
         while b > a + 6 and text[b - 1] in ".)]}":
             b -= 1
         found.setdefault((a, b), "assigned")
@@ -202,6 +217,15 @@ class Scanner:
     forest: Forest
 
 
+def _key_block(rng: np.random.Generator, draw: Callable[[str, int], str], letters: str) -> str:
+    """A generated private key: whole, without its END line, or its opening line alone."""
+    name = ("RSA ", "EC ", "OPENSSH ", "")[rng.integers(4)]
+    lines = [draw(letters, 64) for _ in range(int(rng.integers(1, 26)))] + [draw(letters, int(rng.integers(4, 60))) + "="]
+    part = rng.random()
+    body = "" if part < 0.1 else "\n" + "\n".join(lines)
+    return f"-----BEGIN {name}PRIVATE KEY-----{body}" + (f"\n-----END {name}PRIVATE KEY-----" if part >= 0.3 else "")
+
+
 def labelled_findings(n: int = GENERATED, seed: int = 11) -> list[tuple[str, str, str, str, str, int]]:
     """Generated findings (candidate, before, after, path, kind, label): keys of several alphabets and passwords in assignments
     against digests, ids, paths, placeholders and long identifiers."""
@@ -228,7 +252,7 @@ def labelled_findings(n: int = GENERATED, seed: int = 11) -> list[tuple[str, str
             ][rng.integers(6)]()
             before = f"{prose(3)} {name}{sign}{quote}"
             if rng.random() < 0.1:
-                kind, value, before = "key block", "-----BEGIN RSA PRIVATE KEY-----", prose(3) + "\n"
+                kind, value, before = "key block", _key_block(rng, draw, base62 + "+/"), prose(3) + "\n"
             elif rng.random() < 0.15 and len(value) >= 20:
                 kind, before = "run", f"{prose(2)} {one('bearer', 'authorization', 'key', 'login')} "
         else:
