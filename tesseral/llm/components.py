@@ -12,7 +12,8 @@ def connected(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(id, component) for each end of links (a, b): the smallest id that it reaches. Lone ids do not occur.
 
     Each round is two shuffles of a table that never outgrows the links; it is written to the shared folder, and the
-    rounds are logarithmic in the diameter. A hub's links are only aggregated (min), never gathered.
+    rounds are logarithmic in the diameter. A hub's links are aggregated (min) before the shuffle; each then meets that one row in a
+    join by the hub, whose links adaptive execution splits among tasks (no operator above it needs them together).
     """
     edges = scratch.write(links.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0")
     seen, i = None, 0

@@ -1,31 +1,38 @@
 """N-gram Jaccard join by PartEnum signatures: exact linking of texts whose shingle sets have a similarity of t or more.
 
 A text's set holds its distinct shingles of five words (lower-cased A-Z, split at ASCII white space); a shorter text is
-one shingle. Exact copies of a set become one node first. Sets are dealt to size bands [L, 2L); a set of at least
-t * 2L also takes part in the next band, so that two sets that can be similar meet in one band.
+one shingle. Texts of the same words (a 128-bit digest of the word sequence) become one node first. Sets are dealt to size bands [L, 2L); a set
+of at least t * 2L also takes part in the next band, so that two sets that can be similar meet in one band.
 
-In a band the domain of shingles is partitioned by hash into n(L) parts. Two sets of sizes a, b with Jaccard >= t differ
-in at most d = (a + b)(1 - t)/(1 + t) shingles, hence in at most d parts; this is PartEnum with n2 = k2 + 1, whose
-enumerated subsets are single parts. A signature is the hash of (band, part, shingles of the set in that part), for the
-non-empty parts. n(L) is such that a set has more non-empty parts than the d of any partner, so a similar pair shares a
-signature. (A set that is short of parts, whose chance is below 1e-9 from the choice of n(L), is compared with every
-set of similar size instead.)
+Two sets of sizes a, b with Jaccard >= t differ in at most d = (a + b)(1 - t)/(1 + t) shingles. In a band the domain of
+shingles is partitioned by hash, and subsets of the parts are enumerated; a signature is the hash of (band, subset, shingles of the set
+in it), for subsets that are not empty:
 
-Signatures that many sets hold, from passages that many texts share, need not all be compared: ordered by how many
-sets hold them, a similar pair also agrees in one of the first d + 1 signatures of each, so each set keeps the rarest
-d + 1 of its frequent signatures and all infrequent ones.
+* Below L = 128 the domain has blocks of three parts, and the subsets are the three pairs of parts of each block
+  (n2 = 3, k2 = 1). At most d / 2 blocks differ in two shingles or more; in any other block a pair of parts is equal. A block is full if two
+  of its parts hold shingles: there the equal pair is not empty. So a set with f > d / 2 full blocks shares a signature
+  with every similar set, and 2f - d signatures at least (3f - 2d if d <= f).
+* From there on the subsets are single parts (n2 = k2 + 1), as pairs would cost half as many signatures again for large d. A set
+  with p > d parts that hold shingles shares p - d signatures at least.
+
+A set that is short of full blocks or parts also gives the finest partition's signatures, one per shingle. Of two similar
+sets either one is not short and vouches for a common signature, or both are and share one of these.
+
+Signatures that many sets hold, from passages that many texts share, need not all be compared: a set that shares o signatures
+with any partner may do without its o - 1 most frequent ones, as the rarest common one is not among those.
 
 A group of m sets with one signature is not expanded into pairs: each is compared with the group's hub, the set that holds
-most frequent signatures (a star). What is then outside the hub's component is compared with the others of its group: in groups
-with an infrequent signature pair by pair; in the others by the differences to the hub. With D(x) the symmetric difference
-of x and hub h, x and y are similar only if D(x) and D(y) share (|D(x)| + |D(y)| - (|x| + |y|) / 7) / 2 shingles or more, as 1 / 7 is
-(1 - t) / (1 + t). A set x outside the hub's component has |D(x)| > (|x| + |h|) / 7, so they share at least one, and it is among
-the rarest differences of both, so many as leave fewer than they must share. Copies' own differences are rare: a large group of copies
-that are too far apart makes few pairs. Every comparison is the exact Jaccard similarity of the two whole texts.
+most frequent signatures (a star). Groups that still hold several components are few. With an infrequent signature (at most
+FREQUENT sets) they are compared pair by pair. Those with frequent ones are gathered into clusters, sets of one space that
+such groups connect, each cluster with one hub h. With D(x) the symmetric difference of x and h, similar sets
+x and y have D(x) and D(y) that share (|D(x)| + |D(y)| - (|x| + |y|) / 7) / 2 shingles or more, as 1 / 7 is (1 - t) / (1 + t); so one
+of the rarest shingles of both, so many as leave fewer than they must share. Edits are rare: a large group of copies that are too far apart
+makes few pairs, and each set of a cluster is compared with one hub only. Every link is confirmed on the words of the two whole texts.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,8 +50,16 @@ WORDS = 5
 SIMILARITY = 75
 #: A signature is frequent if more sets hold it.
 FREQUENT = 16
-#: Bands below this size have one part per shingle.
-SINGLES = 128
+#: Bands from here on have single parts as subsets, those below pairs of parts.
+PAIRS_BELOW = 128
+#: The space of the finest partition; those of bands are log2 of L.
+FINEST = 99
+#: A signature that more sets of a slice of SLICE bytes hold is dealt to SALTS groups from then on.
+HEAVY, SLICE, SALTS = 64, 4 << 20, 64
+#: Sets that a task remembers having given the signatures of.
+REMEMBERED = 200_000
+#: Parts that a hub's comparisons are dealt to.
+HUB_SALTS = 32
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -73,49 +88,86 @@ def _sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return total[at[1:]] - total[at[:-1]]
 
 
-def set_keys(sets: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of each set."""
-    size = np.diff(at).astype(U)
-    return mix(_sums(mix(sets, 1), at) + size, 2), mix(_sums(mix(sets, 3), at) + size, 4)
+def word_digests(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit halves of a digest of each row's lower-cased words, with one blank between them."""
+    codes = SPACED[data]
+    word = codes > 0
+    keep = word.copy()
+    keep[1:] |= word[:-1]  # a word, and one separator after it
+    keep[offsets[:-1][np.diff(offsets) > 0]] = word[offsets[:-1][np.diff(offsets) > 0]]
+    text = np.where(word, codes - 1, 32).astype(np.uint8)[keep].tobytes()
+    at = np.concatenate((np.zeros(1, np.int64), np.cumsum(keep)))[offsets].tolist()
+    digests = b"".join(hashlib.blake2b(text[a:b].rstrip(b" "), digest_size=16).digest() for a, b in zip(at[:-1], at[1:], strict=True))
+    both = np.frombuffer(digests, U).reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
 
 
 def parts_of(band: np.ndarray) -> np.ndarray:
-    """n(L): number of parts for bands that start at L."""
-    band = band.astype(float)
-    return np.where(band < SINGLES, 2.0**31, np.ceil((0.75 + 2.5 / np.sqrt(np.maximum(band, 1))) * band)).astype(np.int64)
+    """Number of parts of the domain for bands that start at L: three for each block, or single ones."""
+    band = np.maximum(band.astype(float), 1)
+    return np.where(band < PAIRS_BELOW, 3 * np.maximum(np.round(0.45 * band), 1), np.ceil((0.68 + 1.2 / np.sqrt(band)) * band)).astype(np.int64)
 
 
-def _parts(sets: np.ndarray, at: np.ndarray, upper: bool) -> tuple[np.ndarray, ...]:
-    """In each set's own band, or with ``upper`` in the next one: rows and shingles that take part, and where each part begins."""
+def signatures(sets: np.ndarray, at: np.ndarray, upper: bool) -> tuple[np.ndarray, ...]:
+    """Of each set in its own band, or with ``upper`` in the next one: (signatures, their sets, and for each set the space, the number of
+    signatures it may do without, and whether it is short and takes part)."""
     size = np.diff(at)
     band = (1 << np.floor(np.log2(np.maximum(size, 1))).astype(np.int64)) * (2 if upper else 1)
     takes = (size > 0) & ((100 * size >= SIMILARITY * band) if upper else True)
+    partner = size * 100 // SIMILARITY if upper else np.minimum(size * 100 // SIMILARITY, 2 * band - 1)
+    most = (size + partner) * (100 - SIMILARITY) // (100 + SIMILARITY)  # d
     row = np.repeat(np.arange(len(size)), size)
     chosen = takes[row]
     row, shingles = row[chosen], sets[chosen]
     # sorted shingles give sorted parts, as the part comes from the shingle's upper bits
-    part = ((shingles >> U(33)) * parts_of(band)[row].astype(U)) >> U(31)
+    part = (((shingles >> U(33)) * parts_of(band)[row].astype(U)) >> U(31)).astype(np.int64)
     first = np.ones(len(row), bool)
     first[1:] = (part[1:] != part[:-1]) | (row[1:] != row[:-1])
     start = np.flatnonzero(first)
-    return row[start], shingles, start, part[start] ^ (band[row[start]].astype(U) << U(32))
-
-
-def signatures(sets: np.ndarray, at: np.ndarray, upper: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of each set in its own band, or with ``upper`` in the next one, and where each set's begin."""
-    row, shingles, start, place = _parts(sets, at, upper)
     inside = _sums(mix(shingles, 5), np.append(start, len(shingles)))
-    return mix(inside ^ mix(place, 6), 7), np.searchsorted(row, np.arange(len(at)))
-
-
-def short_of_parts(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Sets whose non-empty parts don't outnumber the shingles in which they may differ from a similar set."""
+    row, part = row[start], part[start]
+    paired = (band < PAIRS_BELOW)[row]
+    place = band.astype(U)[row] << U(32)
+
+    alone = ~paired
+    tokens = [mix(inside[alone] ^ mix(place[alone] ^ part[alone].astype(U), 6), 7)]
+    owners = [row[alone]]
+    held = np.bincount(owners[0], minlength=len(size))
+    spare = held - most - 1
+    # blocks of three parts: their contents side by side, and the pairs of them that are not empty
+    r, block, role = row[paired], part[paired] // 3, part[paired] % 3
+    new = np.ones(len(r), bool)
+    new[1:] = (block[1:] != block[:-1]) | (r[1:] != r[:-1])
+    at_block = np.cumsum(new) - 1
+    content, filled = np.zeros((int(new.sum()), 3), U), np.zeros((int(new.sum()), 3), bool)
+    content[at_block, role], filled[at_block, role] = mix(inside[paired], 10), True
+    owner, where = r[new], mix(place[paired][new] ^ block[new].astype(U), 6)
+    for i, j in ((0, 1), (0, 2), (1, 2)):
+        some = filled[:, i] | filled[:, j]
+        tokens.append(mix(mix(content[some, i], 11 + i) ^ mix(content[some, j], 21 + j) ^ where[some], 12 + i + j))
+        owners.append(owner[some])
+    full = np.bincount(owner[filled.sum(1) >= 2], minlength=len(size))
+    common = np.where(most <= full, 3 * full - 2 * most, 2 * full - most)
+    spare = np.where(band < PAIRS_BELOW, common - 1, spare)
+    space = np.log2(band).astype(np.int8)
+    return np.concatenate(tokens), np.concatenate(owners), space, np.maximum(spare, 0), takes & (spare < 0)
+
+
+def all_signatures(sets: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(signature, set, space, spare) of all signatures of the sets."""
     size = np.diff(at)
     short = np.zeros(len(size), bool)
+    out = []
     for upper in (False, True):
-        count = np.bincount(_parts(sets, at, upper)[0], minlength=len(size))
-        short |= (count > 0) & (count <= size * (100 - SIMILARITY) // SIMILARITY)
-    return short
+        tokens, owner, space, spare, lacks = signatures(sets, at, upper)
+        out.append((tokens, owner, space[owner], spare[owner]))
+        short |= lacks
+    row = np.repeat(np.arange(len(size)), size)
+    chosen = short[row]
+    row = row[chosen]
+    spare = np.maximum(size - size * (100 - SIMILARITY) // SIMILARITY - 1, 0)
+    out.append((mix(sets[chosen], 13), row, np.full(len(row), FINEST, np.int8), spare[row]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def sketches(sets: np.ndarray, at: np.ndarray) -> list[bytes]:
@@ -153,43 +205,54 @@ def _text_of(batch: pa.RecordBatch) -> pa.Array:
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        size, a, b, short, maps = [], [], [], [], []
+        size, a, b, maps = [], [], [], []
         for _, _, data, offsets in text_slices(_text_of(batch)):
             sets, at = shingle_sets(data, offsets)
-            x, y = set_keys(sets, at)
+            x, y = word_digests(data, offsets)
             size.append(np.diff(at).astype(np.int32))
             a.append(x.view(np.int64))
             b.append(y.view(np.int64))
-            short.append(short_of_parts(sets, at))
             maps += sketches(sets, at)
         if size:
-            columns = [batch.column(batch.schema.get_field_index("doc_id")), *(pa.array(np.concatenate(x)) for x in (size, a, b, short)), pa.array(maps, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "node", "check", "short", "sketch"])
+            columns = [batch.column(batch.schema.get_field_index("doc_id")), *(pa.array(np.concatenate(x)) for x in (size, a, b)), pa.array(maps, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "node", "check", "sketch"])
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of (token, node, n, parts); each task gives the signatures of a set once, however many copies it reads."""
+    """Rows of (token, salt, node, space, spare); each task gives the signatures of a set once, however many copies it reads,
+    and deals those of a signature that many sets hold to SALTS groups after the first ones."""
     seen: set[int] = set()
+    heavy = np.zeros(0, U)
     for batch in batches:
-        for _, _, data, offsets in text_slices(_text_of(batch)):
+        for _, _, data, offsets in text_slices(_text_of(batch), SLICE):
             sets, at = shingle_sets(data, offsets)
-            nodes, _ = set_keys(sets, at)
+            nodes, _ = word_digests(data, offsets)
             size = np.diff(at)
             fresh = np.zeros(len(nodes), bool)
             for i, x in enumerate(nodes.tolist()):
                 if size[i] and x not in seen:
                     fresh[i] = True
                     seen.add(x)
+            if len(seen) > REMEMBERED:
+                seen.clear()
             row = np.repeat(np.arange(len(size)), size)
             sets, size, nodes = sets[fresh[row]], size[fresh], nodes[fresh]
             at = np.concatenate((np.zeros(1, np.int64), np.cumsum(size)))
-            for upper in (False, True):
-                tokens, start = signatures(sets, at, upper)
-                count = np.diff(start)
-                held = np.repeat(np.arange(len(size)), count)
-                columns = [tokens.view(np.int64), nodes.view(np.int64)[held], size[held].astype(np.int32), (count[held] * (-1 if upper else 1)).astype(np.int32)]
-                if len(tokens):
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "node", "n", "parts"])
+            tokens, owner, space, spare = all_signatures(sets, at)
+            if not len(tokens):
+                continue
+            order = np.argsort(tokens, kind="stable")
+            tokens, owner, space, spare = tokens[order], owner[order], space[order], spare[order]
+            begin = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
+            count = np.diff(np.append(begin, len(tokens)))
+            nth = np.arange(len(tokens)) - np.repeat(begin, count)
+            known = np.isin(tokens[begin], heavy)
+            salted = np.repeat(known, count) | (nth >= HEAVY)
+            heavy = np.union1d(heavy, tokens[begin[count > HEAVY]])
+            nodes = nodes[owner]
+            salt = np.where(salted, (nodes % U(SALTS)).astype(np.int8) + 1, 0).astype(np.int8)
+            columns = [tokens.view(np.int64), salt, nodes.view(np.int64), space, spare.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "salt", "node", "space", "spare"])
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,34 +264,54 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield kept
 
 
+def _numbered(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
+    return np.array([known.setdefault(w, len(known)) for w in words], np.int64)
+
+
+def similar_texts(a: str, b: str) -> bool:
+    """Exact: words get numbers, and equal sequences of 2, 4 and 5 words get equal numbers in turn."""
+    known: dict[bytes, int] = {}
+    upper, lower = bytes(range(65, 91)), bytes(range(97, 123))
+    one, two = (_numbered((t or "").encode().translate(bytes.maketrans(upper, lower)).split(), known) for t in (a, b))
+    if min(len(one), len(two)) < WORDS:
+        return len(one) > 0 and np.array_equal(one, two)  # a single shingle, or none, on one side: (1 of n >= 2 is under 0.75)
+    both, cut = np.concatenate((one, two)), len(one)
+    pairs = np.unique(both[:-1] * len(known) + both[1:], return_inverse=True)[1]
+    fours = np.unique(pairs[:-2] * (int(pairs.max()) + 1) + pairs[2:], return_inverse=True)[1]
+    fives = fours[:-1] * len(known) + both[4:]
+    x, y = np.unique(fives[: cut - WORDS + 1]), np.unique(fives[cut:])
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * common >= SIMILARITY * (len(x) + len(y) - common)
+
+
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows (a, b, text_a, text_b), the pairs (a, b) that are similar."""
     for batch in batches:
-        columns = [batch.column(i) for i in range(4)]
-        good = []
-        for i in range(batch.num_rows):
-            x, y = (_one_set(c[i].as_py()) for c in columns[2:])
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            good.append(100 * both >= SIMILARITY * (len(x) + len(y) - both) and both > 0)
-        kept = pa.RecordBatch.from_arrays(columns[:2], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+        good = [similar_texts(batch.column(2)[i].as_py(), batch.column(3)[i].as_py()) for i in range(batch.num_rows)]
+        kept = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
         if kept.num_rows:
             yield kept
 
 
 def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (hub, y, text_hub, text_y), rows (hub, y, n_hub, n_y, size, shingle) of the symmetric difference."""
+    """Of rows (cluster, component, out, hub, y, text_hub, text_y), rows of the symmetric difference, with the number of the sets' and of
+    the difference's shingles; out becomes false for a set that is similar to the hub, whose link the star has found."""
+    last, hub_set = None, None
     for batch in batches:
-        hubs, others, parts, sizes = [], [], [], []
+        rows, parts = [], []
         for i in range(batch.num_rows):
-            x, y = (_one_set(batch.column(k)[i].as_py()) for k in (2, 3))
-            parts.append(np.setxor1d(x, y, assume_unique=True))
-            sizes.append((len(x), len(y), len(parts[-1])))
-            hubs.append(batch.column(0)[i].as_py())
-            others.append(batch.column(1)[i].as_py())
+            cluster, component, out, hub, y = (batch.column(k)[i].as_py() for k in range(5))
+            if hub != last:
+                last, hub_set = hub, _one_set(batch.column(5)[i].as_py())
+            own = _one_set(batch.column(6)[i].as_py())
+            parts.append(np.setxor1d(hub_set, own, assume_unique=True))
+            near = len(parts[-1]) * (100 + SIMILARITY) <= (len(hub_set) + len(own)) * (100 - SIMILARITY)
+            rows.append((cluster, component, out and not near, y, len(own), len(parts[-1])))
         if parts:
             count = [len(p) for p in parts]
-            numbers = [np.repeat(np.array(c, np.int64), count) for c in (hubs, others)] + [np.repeat(np.array(c, np.int32), count) for c in zip(*sizes, strict=True)]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, numbers), pa.array(np.concatenate(parts).view(np.int64))], ["hub", "y", "n_hub", "n_y", "size", "shingle"])
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32())
+            columns = [pa.array(c, k).take(pa.array(np.repeat(np.arange(len(count)), count))) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(parts).view(np.int64))], ["cluster", "component", "out", "y", "n_y", "size", "shingle"])
 
 
 def _one_set(text: str) -> np.ndarray:
@@ -241,52 +324,45 @@ def _sizes_agree(a: str, b: str) -> F.Column:
     return 100 * small >= SIMILARITY * large
 
 
-def _distance(n: F.Column) -> F.Column:
-    """Largest number of shingles in which a set of n differs from a similar one: partners have at most n / t shingles."""
-    return F.floor(n * F.lit(100 - SIMILARITY) / F.lit(SIMILARITY))
-
-
 def _shared_signatures(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """Rows (token, node, n, often) of the signatures that two sets or more hold, frequent ones thinned by the order of rarity;
-    often is the number of frequent signatures of the set, and null for infrequent signatures."""
-    tokens = docs.select("text").mapInArrow(_signatures, "token long, node long, n int, parts int")
-    group = Window.partitionBy("token")
+    """Rows (token, node, space, often) of the signatures that two sets or more hold, without the frequent ones that a set can spare;
+    often is the number of frequent signatures of the set in the space, and null for infrequent signatures."""
+    tokens = docs.select("text").mapInArrow(_signatures, "token long, salt byte, node long, space byte, spare int")
+    group = Window.partitionBy("token", "salt")
     shared = tokens.select("*", F.count(F.lit(1)).over(group).alias("m"), F.min("node").over(group).alias("_low"), F.max("node").over(group).alias("_high"))
-    shared = scratch.write(shared.filter("_low < _high").select("token", "node", "n", "parts", "m"), "shared")
-    often = shared.filter(F.col("m") > FREQUENT).dropDuplicates(["token", "node"])
-    rarest = Window.partitionBy("node", F.signum("parts")).orderBy("m", "token")
-    whole = Window.partitionBy("node", F.signum("parts"))
-    often = often.select("*", F.row_number().over(rarest).alias("_nth"), F.count(F.lit(1)).over(whole).alias("_often"))
-    kept = often.filter(F.abs("parts") - F.col("_often") + F.col("_nth") <= _distance(F.col("n")) + 1)
-    seldom = shared.filter(F.col("m") <= FREQUENT)
-    seldom = seldom.select("token", "node", "n", F.lit(None).cast("long").alias("often"))
-    return scratch.write(seldom.unionByName(kept.select("token", "node", "n", F.col("_often").alias("often"))), "kept")
+    shared = shared.filter("_low < _high or salt > 0").select("token", "salt", "node", "space", "spare", F.when(F.col("salt") == 0, F.col("m")).otherwise(FREQUENT + 1).alias("m"))
+    shared = scratch.write(shared, "shared")
+    heavy = broadcast_if_small(scratch.write(shared.filter("salt > 0").select("token").distinct(), "heavy"))
+    often = shared.filter(F.col("m") > FREQUENT).join(heavy.withColumn("_heavy", F.lit(True)), "token", "left")
+    often = often.withColumn("m", F.when(F.col("_heavy"), F.lit(2**62)).otherwise(F.col("m"))).dropDuplicates(["token", "node"])
+    commonest = Window.partitionBy("node", "space").orderBy(F.col("m").desc(), F.col("token").desc())
+    whole = Window.partitionBy("node", "space")
+    often = often.select("*", F.row_number().over(commonest).alias("_nth"), F.count(F.lit(1)).over(whole).alias("often"))
+    kept = often.filter(F.col("_nth") > F.col("spare")).select("token", "node", "space", "often")
+    seldom = shared.filter(F.col("m") <= FREQUENT).select("token", "node", "space", F.lit(None).cast("long").alias("often"))
+    kept = scratch.write(seldom.unionByName(kept), "kept")
+    scratch.drop("shared")
+    return kept
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """Of pairs of nodes (x, y) the similar pairs of documents (a, b), each document standing for its set."""
-    one = sets.select(F.col("node").alias("x"), F.col("first").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
-    two = sets.select(F.col("node").alias("y"), F.col("first").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
-    ids = pairs.join(one, "x").join(two, "y").select("a", "b", "n_a", "sketch_a", "n_b", "sketch_b").mapInArrow(_near, "a long, b long")
-    both = _joined_texts(scratch.write(ids, f"{name}-pairs"), docs, scratch, name)
-    return scratch.write(both.mapInArrow(_similar, "a long, b long"), name)
-
-
-def _with_texts(pairs: DataFrame, sets: DataFrame, docs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """Rows (x, y, text_x, text_y) of pairs of nodes."""
-    one = sets.select(F.col("node").alias("x"), F.col("first").alias("a"))
-    two = sets.select(F.col("node").alias("y"), F.col("first").alias("b"))
-    ids = scratch.write(pairs.distinct().join(one, "x").join(two, "y"), f"{name}-named")
-    both = _joined_texts(ids.select("a", "b").distinct(), docs, scratch, name)
-    return both.join(ids, ["a", "b"]).select("x", "y", "text_a", "text_b")
-
-
-def _joined_texts(ids: DataFrame, docs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """Rows (a, b, text_a, text_b) of pairs of documents."""
-    wanted = broadcast_if_small(scratch.write(ids.select(F.col("a").alias("doc_id")).union(ids.select("b")).distinct(), f"{name}-ids"))
-    texts = scratch.write(docs.join(wanted, "doc_id", "left_semi"), f"{name}-texts")
+    """Of pairs (a, b) of documents that stand for their sets, the similar ones."""
+    one = sets.select(F.col("first").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
+    two = sets.select(F.col("first").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
+    ids = pairs.join(one, "a").join(two, "b").filter(_sizes_agree("n_a", "n_b")).select("a", "b", "n_a", "sketch_a", "n_b", "sketch_b")
+    ids = scratch.write(ids.mapInArrow(_near, "a long, b long"), f"{name}-pairs")
+    texts = _texts(ids.select(F.col("a").alias("doc_id")).union(ids.select("b")), docs, scratch, name)
     both = ids.join(texts.withColumnsRenamed({"doc_id": "a", "text": "text_a"}), "a")
-    return both.join(texts.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b").select("a", "b", "text_a", "text_b")
+    both = both.join(texts.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b").select("a", "b", "text_a", "text_b")
+    found = scratch.write(both.mapInArrow(_similar, "a long, b long"), name)
+    scratch.drop(f"{name}-texts")
+    return found
+
+
+def _texts(ids: DataFrame, docs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(doc_id, text) of the ids."""
+    wanted = broadcast_if_small(scratch.write(ids.distinct(), f"{name}-ids"))
+    return scratch.write(docs.join(wanted, "doc_id", "left_semi"), f"{name}-texts")
 
 
 def link(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -294,86 +370,102 @@ def link(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFra
 
     Texts that are null or have no words have an empty set and are linked with nothing. Repeated rows count as copies.
     Rows that share an id are one document. A null id is linked with nothing and has a null component. Ids are whole
-    numbers. Other columns are not read; an empty table gives an empty table.
+    numbers. Other columns are not read; an empty table gives an empty table. Long texts are read whole, in pieces.
     """
-    scratch = Scratch(docs.sparkSession, "ngram-join")
+    return _linked(docs, Scratch(docs.sparkSession, "ngram-join"), key, text)
+
+
+def _linked(docs: DataFrame, scratch: Scratch, key: str, text: str) -> DataFrame:
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    keys = scratch.write(docs.mapInArrow(_keys, "doc_id long, n int, node long, check long, short boolean, sketch binary"), "keys")
+    keys = scratch.write(docs.mapInArrow(_keys, "doc_id long, n int, node long, check long, sketch binary"), "keys")
     known = keys.filter("n > 0 and doc_id is not null")
     sets = scratch.write(known.groupBy("node", "check", "n").agg(F.min("doc_id").alias("first"), F.first("sketch").alias("sketch")), "sets")
-
-    kept = _shared_signatures(docs.filter("doc_id is not null"), scratch)
-    group = Window.partitionBy("token")
-    star = kept.select("token", "node", "n", F.max(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "node", "n")).over(group).alias("hub"))
-    star = star.filter("node != hub.node").select(F.col("hub.node").alias("x"), F.col("node").alias("y"), F.col("hub.n").alias("_nx"), "n")
-    tried = scratch.write(star.filter(_sizes_agree("_nx", "n")).select("x", "y").distinct(), "star")
+    docs = docs.filter("doc_id is not null")
+
+    kept = _shared_signatures(docs, scratch).join(sets.select("node", "first"), "node").drop("node")
+    kept = scratch.write(kept, "groups")
+    scratch.drop("kept")
+    hubs = kept.groupBy("token").agg(F.max(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "first")).alias("hub"))
+    star = kept.join(hubs.select("token", F.col("hub.first").alias("a")), "token").select("a", F.col("first").alias("b")).filter("a != b")
+    tried = scratch.write(star.distinct(), "star")
     links = _verified(tried, sets, docs, scratch, "star-links")
     reach = scratch.write(connected(links, scratch, "star"), "star-components")
 
-    # groups that still hold several components: their sets outside the hub's, against all others
-    named = sets.select("node", "first").join(reach.select(F.col("id").alias("first"), "component"), "first")
-    inside = kept.join(named.select("node", "component"), "node", "left")
-    inside = inside.withColumn("component", F.struct(F.col("component").isNull().alias("alone"), F.coalesce("component", "node").alias("id")))
-    hubs = inside.groupBy("token").agg(F.max(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "node", "n", "component")).alias("hub"), F.min("component").alias("_low"), F.max("component").alias("_high"))
-    hubs = hubs.filter("_low < _high").select("token", F.col("hub.node").alias("hub"), F.col("hub.n").alias("n_hub"), F.col("hub.component").alias("main"))
-    open_rows = scratch.write(inside.join(hubs, "token").withColumn("met", F.col("often").isNotNull() & _sizes_agree("n", "n_hub")), "open")
-    across = _pairs_in_groups(open_rows).unionByName(_pairs_by_difference(open_rows, sets, docs, scratch)).distinct()
-    across = scratch.write(across.join(tried.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), ["x", "y"], "left_anti"), "across")
-    more = _verified(across.unionByName(_pairs_by_size(known, sets)).distinct(), sets, docs, scratch, "links")
+    # groups that still hold several components
+    inside = kept.join(reach.withColumnRenamed("id", "first"), "first", "left").withColumn("component", F.coalesce("component", "first"))
+    inside = scratch.write(inside, "inside")
+    scratch.drop("groups")
+    several = inside.groupBy("token").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).filter("_low < _high").select("token")
+    open_rows = scratch.write(inside.join(several, "token", "left_semi"), "open")
+    scratch.drop("inside")
+    across = _pairs_in_groups(open_rows.filter("often is null")).unionByName(_pairs_by_difference(open_rows.filter("often is not null"), docs, scratch)).distinct()
+    across = scratch.write(across.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "across")
+    more = _verified(across, sets, docs, scratch, "links")
 
     copies = known.join(sets.drop("n"), ["node", "check"]).select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
     twice = copies.groupBy("b").agg(F.min("a").alias("a"), F.max("a").alias("_z")).filter("a < _z")  # ids with several sets
     twice = copies.join(twice.select("b"), "b").select("a", "b").filter("a != b")
     whole = scratch.write(connected(links.unionByName(more).unionByName(twice), scratch, "all"), "components")
+    for name in ("star", "star-components", "open", "across", "differences"):
+        scratch.drop(name)
 
     named = sets.join(whole.withColumnRenamed("id", "first"), "first", "left").select("node", "check", F.coalesce("component", "first").alias("_c"))
-    out = keys.join(named, ["node", "check"], "left")
+    out = keys.drop("sketch").join(named, ["node", "check"], "left")
     linked = (F.col("n") > 0) & F.col("doc_id").isNotNull()
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(linked, F.coalesce("_c", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def _pairs_in_groups(rows: DataFrame) -> DataFrame:
-    """Pairs (x, y) outside the hub's component: of groups with infrequent signatures, and of sets that a hub of another size was not compared with."""
-    side = lambda a, c, n, met: (F.col("node").alias(a), F.col("component").alias(c), F.col("n").alias(n), F.col("met").alias(met))
-    left = rows.filter("component != main").select("token", *side("p", "_cp", "_np", "_mp"))
-    right = rows.select(F.col("token").alias("_t"), *side("q", "_cq", "_nq", "_mq"))
-    pairs = left.join(right, (F.col("token") == F.col("_t")) & (F.col("_cp") != F.col("_cq")) & ~(F.col("_mp") & F.col("_mq")) & _sizes_agree("_np", "_nq"))
-    return pairs.select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y")).distinct()
-
-
-def _pairs_by_difference(rows: DataFrame, sets: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """Pairs (x, y) of sets that were compared with one hub, x outside its component, which share a rare difference to the hub."""
-    met = rows.filter("met and node != hub").select("hub", F.col("node").alias("y"), "component", (F.col("component") != F.col("main")).alias("out")).distinct()
-    met = scratch.write(met, "met")
-    pairs = _with_texts(met.select(F.col("hub").alias("x"), "y"), sets, docs, scratch, "met")
-    apart = scratch.write(pairs.mapInArrow(_differences, "hub long, y long, n_hub int, n_y int, size int, shingle long"), "differences")
-    often = apart.groupBy("hub", "shingle").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    some = apart.join(often, ["hub", "shingle"], "left").withColumn("m", F.coalesce("m", F.lit(1)))
-    some = some.withColumn("_nth", F.row_number().over(Window.partitionBy("hub", "y").orderBy("m", "shingle")))
-    some = some.filter("m > 1").join(met.select("hub", "y", "component", "out"), ["hub", "y"])
+    """Pairs (a, b), a < b, of the components of groups with infrequent signatures."""
+    right = rows.select(F.col("token").alias("_t"), F.col("first").alias("b"), F.col("component").alias("_c"))
+    pairs = rows.join(right, (F.col("token") == F.col("_t")) & (F.col("component") != F.col("_c")) & (F.col("first") < F.col("b")))
+    return pairs.select(F.col("first").alias("a"), "b").distinct()
+
+
+def _clusters(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """(cluster, hub, y, component, out) for the sets of each cluster but its hub; out tells that y is not in the hub's component."""
+    rows = rows.withColumn("vertex", F.xxhash64("space", "first"))
+    centre = rows.groupBy("token").agg(F.min("vertex").alias("b"))
+    found = connected(rows.join(centre, "token").select(F.col("vertex").alias("a"), "b"), scratch, "clusters")
+    members = rows.groupBy("vertex", "first", "component").agg(F.max("often").alias("often"))
+    members = scratch.write(members.join(found.select(F.col("id").alias("vertex"), F.col("component").alias("cluster")), "vertex"), "members")
+    hubs = members.groupBy("cluster").agg(F.max(F.struct("often", "first", "component")).alias("hub"))
+    hubs = broadcast_if_small(scratch.write(hubs.select("cluster", F.col("hub.first").alias("hub"), F.col("hub.component").alias("_main")), "hubs"))
+    met = members.join(hubs, "cluster").filter("first != hub")
+    return scratch.write(met.select("cluster", "component", (F.col("component") != F.col("_main")).alias("out"), "hub", F.col("first").alias("y")), "met")
+
+
+def _pairs_by_difference(rows: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b), a < b, of sets of one cluster and different components, which share a rare difference to the cluster's hub.
+    The hub is the hub of all its groups, so its own pairs have been tried."""
+    met = _clusters(rows, scratch)
+    texts = _texts(met.select(F.col("y").alias("doc_id")).union(met.select("hub")), docs, scratch, "met")
+    hubs = met.select("cluster", "hub").distinct().join(texts.withColumnsRenamed({"doc_id": "hub", "text": "text_hub"}), "hub")
+    hubs = hubs.select("cluster", "text_hub", F.explode(F.sequence(F.lit(0), F.lit(HUB_SALTS - 1))).alias("salt"))
+    pairs = met.join(texts.withColumnsRenamed({"doc_id": "y", "text": "text_y"}), "y").withColumn("salt", F.pmod(F.xxhash64("y"), F.lit(HUB_SALTS)).cast("int"))
+    pairs = pairs.join(hubs, ["cluster", "salt"]).select("cluster", "component", "out", "hub", "y", "text_hub", "text_y")
+    apart = pairs.mapInArrow(_differences, "cluster long, component long, out boolean, y long, n_y int, size int, shingle long")
+    apart = scratch.write(apart, "differences")
+    scratch.drop("met-texts")
+    often = apart.groupBy("cluster", "shingle").agg(F.count(F.lit(1)).alias("m"), (F.max("out") & (F.min("component") < F.max("component"))).alias("_open")).filter("m > 1")
+    some = apart.join(often, ["cluster", "shingle"], "left").withColumn("m", F.coalesce("m", F.lit(1)))
+    some = some.withColumn("_nth", F.row_number().over(Window.partitionBy("cluster", "y").orderBy("m", "shingle"))).filter("_open")
     side = lambda *names: [F.col(c).alias(n) for c, n in zip(("y", "n_y", "size", "_nth", "component"), names, strict=True)]
-    left = some.filter("out").select(F.col("hub").alias("_h"), F.col("shingle").alias("_s"), *side("p", "_np", "_sp", "_kp", "_cp"))
-    right = some.select("hub", "shingle", *side("q", "_nq", "_sq", "_kq", "_cq"))
+    left = some.filter("out").select(F.col("cluster").alias("_h"), F.col("shingle").alias("_s"), *side("p", "_np", "_sp", "_kp", "_cp"))
+    right = some.select("cluster", "shingle", *side("q", "_nq", "_sq", "_kq", "_cq"))
     # what both differences must share, and hence how many of either's rarest can be missed
     most = 2 * (100 + SIMILARITY)
     shared = (100 + SIMILARITY) * (F.col("_sp") + F.col("_sq")) - (100 - SIMILARITY) * (F.col("_np") + F.col("_nq"))
     among_rarest = (most * (F.col("_kp") - 1) <= most * F.col("_sp") - shared) & (most * (F.col("_kq") - 1) <= most * F.col("_sq") - shared)
-    pairs = left.join(right, (F.col("hub") == F.col("_h")) & (F.col("shingle") == F.col("_s")) & (F.col("_cp") != F.col("_cq")) & among_rarest & _sizes_agree("_np", "_nq"))
-    return pairs.select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y")).distinct()
-
-
-def _pairs_by_size(keys: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (x, y) of sets that are short of parts and all sets of similar size, by equi-join on the size."""
-    sizes = F.sequence(F.ceil(F.col("n") * SIMILARITY / 100), F.floor(F.col("n") * 100 / SIMILARITY))
-    near = keys.filter("short").select(F.col("node").alias("x"), "n").distinct().select("x", F.explode(sizes).alias("n"))
-    pairs = near.join(sets.select(F.col("n").cast("long").alias("n"), F.col("node").alias("y")), "n").filter("x != y")
-    return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    pairs = left.join(right, (F.col("cluster") == F.col("_h")) & (F.col("shingle") == F.col("_s")) & (F.col("_cp") != F.col("_cq")) & among_rarest & _sizes_agree("_np", "_nq"))
+    return pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
 
 
 def first_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without the documents that are linked to one with a smaller id; of rows that repeat an id, one stays."""
-    scratch = Scratch(docs.sparkSession, "ngram-dedup")
-    found = scratch.write(link(docs, key=key, text=text), "links")
+    scratch, inner = Scratch(docs.sparkSession, "ngram-dedup"), Scratch(docs.sparkSession, "ngram-join")
+    found = scratch.write(_linked(docs, inner, key, text), "links")
+    inner.drop()
     goes = broadcast_if_small(scratch.write(found.filter("component_id < doc_id").select(F.col("doc_id").alias("_goes")).distinct(), "goes"))
     stays = docs.join(goes, docs[key] == F.col("_goes"), "left_anti")
     twice = found.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select(F.col("doc_id").alias("_twice"))

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 2**64)
 _FOLD = U(0xD6E8FEB86659FD93)
+#: For 0 to 8 bytes that are left of a word, the bits of a little-endian number that they fill.
+_LEFT = np.array([(1 << (8 * k)) - 1 for k in range(9)], U)
+#: Longer words are hashed one by one.
+LONG_WORD = 512
 #: Bytes of text that are handled at once; a longer row is cut at separators, a longer word is not cut.
 BLOCK = 1 << 19
 
@@ -37,13 +40,23 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def _powers(n: int, base: int, kept: dict = {}) -> np.ndarray:  # noqa: B006  a cache
-    have = kept.get(base)
-    if have is None or len(have) < n:
-        out = np.full(max(n, BLOCK + 4096), U(base))
-        out[0] = 1
-        kept[base] = have = np.cumprod(out)
-    return have[:n]
+def word_hashes(lower: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word: its length, and its bytes by eights, each mixed into those before (no sum of powers,
+    whose structure lets regular words collide). Words of up to eight bytes never collide with words of their length."""
+    padded = np.zeros(len(lower) + 8, np.uint8)
+    padded[: len(lower)] = lower
+    eights = np.ndarray(len(lower) + 1, "<u8", padded, strides=(1,))
+    length = ends - starts
+    out = mix(length.astype(U), 9)
+    for i in np.flatnonzero(length > LONG_WORD).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(lower[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    left, k = np.flatnonzero(length <= LONG_WORD), 0
+    while len(left):
+        rest = length[left] - k
+        out[left] = mix(out[left] ^ (eights[starts[left] + k] & _LEFT[np.minimum(rest, 8)]))
+        k += 8
+        left = left[rest > 8]
+    return out
 
 
 def text_slices(column: pa.Array, limit: int = BLOCK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -84,9 +97,7 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tupl
         starts = np.flatnonzero(word & (fresh | np.concatenate(([True], ~word[:-1]))))
         over = np.concatenate((~word[1:] | fresh[1:], [True]))
         ends = np.flatnonzero(word & over) + 1
-        sums = np.concatenate((np.zeros(1, U), np.cumsum(codes.astype(U) * _powers(end - at, _BASE))))
-        hashes = (sums[ends] - sums[starts]) * _powers(end - at, _INVERSE)[starts]
-        parts.append((starts + at, ends + at, mix(hashes + (ends - starts).astype(U))))
+        parts.append((starts + at, ends + at, word_hashes((codes - 1).astype(np.uint8), starts, ends)))
         at = end
     if not parts:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U)

@@ -91,6 +91,39 @@ def test_large_group_of_near_copies(spark):
     assert got == want and len(set(want.values())) > 3
 
 
+def thue_morse(n: int, letters: str = "ab") -> str:
+    return "".join(letters[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_not_hashes(spark):
+    """Regular words, whose sums of powers agree modulo 2**64, are different words."""
+    one, other = thue_morse(2048), thue_morse(2048, "ba")
+    texts = [f"w x {one} y z", f"w x {other} y z", f"w x {one} y z", f"W  x\t{one} y z ", f"v w x {one} y z"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.link(df).collect()}
+    assert got == {0: (1, 0), 1: (1, 1), 2: (1, 0), 3: (1, 0), 4: (2, 4)}
+    assert not ngram_join.similar_texts(texts[0], texts[1]) and ngram_join.similar_texts("a b", "A\nb") and not ngram_join.similar_texts("", "")
+
+
+def test_signatures_of_similar_sets():
+    """Similar sets of all sizes share a signature, also if each does without as many of the last in some order as it can spare."""
+    r = np.random.default_rng(5)
+    draw = lambda n: r.integers(0, 2**64, n, dtype=np.uint64)
+    for _ in range(1500):
+        x = np.unique(draw(int(2 ** r.uniform(0, 11))))
+        y = np.unique(np.concatenate((r.permutation(x)[: len(x) - r.integers(0, len(x) // 7 + 2)], draw(int(r.integers(0, len(x) // 3 + 2))))))
+        common = len(np.intersect1d(x, y))
+        if 100 * common < 75 * (len(x) + len(y) - common) or not common:
+            continue
+        tokens, owner, space, spare = ngram_join.all_signatures(np.concatenate((x, y)), np.array([0, len(x), len(x) + len(y)]))
+        kept: list[set] = [set(), set()]
+        for i, s in {*zip(owner.tolist(), space.tolist(), strict=True)}:
+            mine = (owner == i) & (space == s)
+            rank = tokens[mine] * np.uint64(0x9E3779B97F4A7C15)
+            kept[i] |= set(tokens[mine][np.argsort(rank)][: mine.sum() - spare[mine][0]].tolist())
+        assert kept[0] & kept[1], (len(x), len(y), common)
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 100), (7, 7), (200, 100)]
     found = components.connected(spark.createDataFrame(links, "a long, b long"), Scratch(spark, "t"), "c")
