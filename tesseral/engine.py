@@ -137,7 +137,7 @@ class Engine:
         before = same.agg(F.min("seq")).first()[0]
         if before is None:
             self.sequence += 1
-        whole = region.coalesce(region.union(same, area), 2)
+        whole = region.coalesce(region.union(same, area), None)
         rows = whole.select("*", *[F.lit(plain if c == VALUE[kind] else None).cast(cells.schema[c].dataType).alias(c) for c in VALUE.values()], F.lit(before or self.sequence).cast("long").alias("seq"))
         rest = cells.filter(~F.coalesce(F.col(VALUE[kind]) == F.lit(plain).cast(cells.schema[VALUE[kind]].dataType), F.lit(False)))
         self.tables[space, key] = written(rest.unionByName(rows), "cells")
@@ -194,12 +194,8 @@ def values_in(cells: DataFrame, area: DataFrame) -> DataFrame:
 
 
 def without(cells: DataFrame, area: DataFrame) -> DataFrame:
-    """cells outside a region."""
-    left = region.difference(cells, area)
-    values = [c for c in cells.columns if c not in region.REGION]
-    # each piece of the difference lies in the boxes it was cut from
-    pairs = overlap_join(prefixed(left, "a_"), prefixed(cells, "b_"))
-    return pairs.select(F.col("b_z").alias("z"), F.col("b_i").alias("i"), *[F.greatest(f"a_{c}", f"b_{c}").alias(c) if c.endswith("lo") else F.least(f"a_{c}", f"b_{c}").alias(c) for c in BOX], *[F.col(f"b_{c}").alias(c) for c in values]).distinct()
+    """cells outside a region: each part keeps its row's value, and a resolution at which its bounds are whole steps."""
+    return region.outside(cells, area)
 
 
 def _json_rows(df: DataFrame, value: bool) -> list[dict]:

@@ -123,3 +123,29 @@ def id_text(prefix: str = "") -> Column:
         .otherwise(F.concat_ws(":", first.cast("string"), last.cast("string")))
     )
     return F.concat(z.cast("string"), F.lit("/"), texts["f"], F.lit("/"), texts["x"], F.lit("/"), texts["y"], F.lit("_"), i.cast("string"), F.lit("/"), t)
+
+
+def _parsed(text: Column, least: Column, most: Column) -> tuple[Column, Column]:
+    """First and last step of a range's text."""
+    shape = r"^(-?\d+|-)(?::(-?\d+|-))?$"
+    first, second = (F.regexp_extract(text, shape, k) for k in (1, 2))
+    lo = F.when(first == "-", least).otherwise(first.try_cast("long"))
+    hi = F.when((second == "-") | (text == "-"), most).when(second == "", lo).otherwise(second.try_cast("long"))
+    return lo, hi
+
+
+def box_of_text(text: Column) -> Column:
+    """The box of an identifier's text, the inverse of id_text: a struct of z, i and the bounds; null bounds where the text is none."""
+    part = lambda k: F.get(F.split(text, "/"), F.lit(k))
+    y_i = F.split(part(3), "_")
+    z, i = part(0).try_cast("int"), F.get(y_i, F.lit(1)).try_cast("long")
+    size = F.call_function("shiftleft", F.lit(1).cast("long"), z)
+    unit = F.call_function("shiftleft", F.lit(1).cast("long"), F.lit(FINEST) - z)
+    out = [z.alias("z"), i.alias("i")]
+    for d, t in (("f", part(1)), ("x", part(2)), ("y", F.get(y_i, F.lit(0)))):
+        lo, hi = _parsed(t, -size if d == "f" else F.lit(0).cast("long"), size - 1)
+        out += [(lo * unit).alias(f"{d}_lo"), ((hi + 1) * unit).alias(f"{d}_hi")]
+    lo, hi = _parsed(part(4), F.lit(0).cast("long"), F.lit(None).cast("long"))
+    open_end = part(4).endswith("-")
+    out += [(lo * i).alias("t_lo"), F.when(open_end, F.lit(FOREVER)).otherwise((hi + 1) * i).alias("t_hi")]
+    return F.struct(*out)

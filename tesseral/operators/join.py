@@ -1,10 +1,11 @@
-"""Overlap join of boxes on four axes, as an equi-join on grid cells of x and y.
+"""Overlap join of boxes on four axes, as an equi-join on grid cells of x, y and time.
 
-Each box has a level, the least power of two that its longer side of x and y does not exceed, and covers at most two cells per axis of
-that level's grid. A pair meets in the coarser of its two levels: a box is listed under its own level and under the
-coarser levels that the other side has (at most 33 numbers, which are read first). Of the cells that both have there, the one of the
-intersection's lower corner makes the pair, so every pair comes once. The other axes, and the exact bounds, are a residual
-condition. There is no nested loop, and boxes of any size, unbounded ones too, take part.
+Each box has two levels: in space, the least power of two that its longer side of x and y does not exceed, and in time, that of its
+duration. On the grids of these levels it covers at most two cells per axis. A pair meets in the coarser of its two levels, of space
+and of time apart: a box is listed once for each such meeting level that the other side's levels (a few pairs of numbers, which are
+read first) make with its own. Of the cells that both have there, the one of the intersection's lower corner makes the pair, so every pair
+comes once. The height, and the exact bounds, are a residual condition. There is no nested loop, and boxes of any size, unbounded
+ones too, take part. A side that has few boxes, by the count that comes with its levels, is broadcast.
 """
 
 from __future__ import annotations
@@ -14,25 +15,35 @@ from pyspark.sql import functions as F
 
 from tesseral.functions.boxes import overlaps
 
+#: Most boxes of a side that is sent to every executor.
+FEW = 20_000
+#: Axes with cells in the key, and which of the two levels they have.
+_GRID = {"x": "space", "y": "space", "t": "time"}
 
-def _level(prefix: str) -> Column:
-    side = F.greatest(F.col(f"{prefix}x_hi") - F.col(f"{prefix}x_lo"), F.col(f"{prefix}y_hi") - F.col(f"{prefix}y_lo"))
+
+def _bits(side: Column) -> Column:
     return F.length(F.bin(side - 1)).cast("int") - (side <= 1).cast("int")
 
 
-def _levels(df: DataFrame, prefix: str) -> list[int]:
-    return sorted(r[0] for r in df.select(_level(prefix).alias("l")).distinct().collect())
+def _levels(prefix: str) -> dict[str, Column]:
+    side = {d: F.col(f"{prefix}{d}_hi") - F.col(f"{prefix}{d}_lo") for d in _GRID}
+    return {"space": _bits(F.greatest(side["x"], side["y"])), "time": _bits(side["t"])}
+
+
+def shapes(df: DataFrame, prefix: str) -> list[tuple[int, int, int]]:
+    """(level of space, level of time, number of boxes) of the pairs of levels that df's boxes have."""
+    return [tuple(r) for r in df.groupBy(*[c.alias(k) for k, c in _levels(prefix).items()]).count().collect()]
 
 
-def _listed(df: DataFrame, prefix: str, others: list[int]) -> DataFrame:
-    """The boxes with a row for each cell (level, cx, cy) that they are listed under."""
-    mine = f"{prefix}level"
-    df = df.withColumn(mine, _level(prefix))
-    coarser = F.filter(F.lit(others).cast("array<int>"), lambda v: v > F.col(mine))
-    df = df.withColumn("_level", F.explode(F.concat(F.array(mine), coarser)))
-    for d in "xy":
-        cells = F.expr(f"sequence(shiftright(`{prefix}{d}_lo`, _level), shiftright(`{prefix}{d}_hi` - 1, _level))")
-        df = df.withColumn(f"_c{d}", F.explode(cells))
+def _listed(df: DataFrame, prefix: str, others: list[tuple[int, int, int]], names: str) -> DataFrame:
+    """The boxes with a row for each cell, columns named by ``names``, that they are listed under."""
+    df = df.withColumns({f"{prefix}{k}": c for k, c in _levels(prefix).items()})
+    each = F.array(*[F.struct(F.lit(s).alias("space"), F.lit(t).alias("time")) for s, t, _ in others]) if others else F.array().cast("array<struct<space:int,time:int>>")
+    coarser = F.transform(each, lambda v: F.struct(*[F.greatest(v[k], F.col(f"{prefix}{k}")).alias(k) for k in ("space", "time")]))
+    df = df.withColumn("_level", F.explode(F.array_distinct(coarser))).withColumns({f"{names}{k}": F.col(f"_level.{k}") for k in ("space", "time")}).drop("_level")
+    for d, k in _GRID.items():
+        cells = F.expr(f"sequence(shiftright(`{prefix}{d}_lo`, {names}{k}), shiftright(`{prefix}{d}_hi` - 1, {names}{k}))")
+        df = df.withColumn(f"{names}c{d}", F.explode(cells))
     return df
 
 
@@ -43,18 +54,21 @@ def overlap_join(left: DataFrame, right: DataFrame, a: str = "a_", b: str = "b_"
     """
     if not left.columns or not right.columns:
         raise ValueError("no columns")
-    solid = lambda df, p: df.filter((F.col(f"{p}x_lo") < F.col(f"{p}x_hi")) & (F.col(f"{p}y_lo") < F.col(f"{p}y_hi")))
+    solid = lambda df, p: df.filter(" and ".join(f"`{p}{d}_lo` < `{p}{d}_hi`" for d in _GRID))
     left, right = solid(left, a), solid(right, b)
-    one = _listed(left, a, _levels(right, b))
-    two = _listed(right, b, _levels(left, a)).withColumnsRenamed({"_level": "_level2", "_cx": "_cx2", "_cy": "_cy2"})
-    own = F.col("_level") == F.greatest(F.col(f"{a}level"), F.col(f"{b}level"))
-    first = F.lit(True)
-    for d in "xy":
-        first = first & (F.col(f"_c{d}") == F.expr(f"shiftright(greatest(`{a}{d}_lo`, `{b}{d}_lo`), _level)"))
-    same = (F.col("_level") == F.col("_level2")) & (F.col("_cx") == F.col("_cx2")) & (F.col("_cy") == F.col("_cy2"))
-    condition = same & own & first & overlaps(a, b)
+    mine, other = shapes(left, a), shapes(right, b)
+    one, two = _listed(left, a, other, "_l_"), _listed(right, b, mine, "_r_")
+    condition = overlaps(a, b)
+    for k in ("space", "time"):
+        condition = condition & (F.col(f"_l_{k}") == F.col(f"_r_{k}")) & (F.col(f"_l_{k}") == F.greatest(F.col(f"{a}{k}"), F.col(f"{b}{k}")))
+    for d, k in _GRID.items():
+        condition = condition & (F.col(f"_l_c{d}") == F.col(f"_r_c{d}"))
+        condition = condition & (F.col(f"_l_c{d}") == F.expr(f"shiftright(greatest(`{a}{d}_lo`, `{b}{d}_lo`), _l_{k})"))
+    few = [sum(n for _, _, n in s) for s in (mine, other)]
+    if min(few) <= FEW:
+        one, two = (F.broadcast(one), two) if few[0] <= few[1] else (one, F.broadcast(two))
     pairs = one.join(two, condition if on is None else condition & on)
-    return pairs.drop("_level", "_level2", "_cx", "_cx2", "_cy", "_cy2", f"{a}level", f"{b}level")
+    return pairs.select(*[F.col(c) for c in [*left.columns, *right.columns]])
 
 
 def prefixed(df: DataFrame, prefix: str) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -21,6 +21,8 @@ from tesseral.shared import written
 REGION = ["z", "i", *BOX]
 #: Boxes that are folded into one piece.
 FOLD = 64
+#: Cells that to_pure lists of one box.
+MOST_CELLS = 1 << 24
 _INSIDE = ["_space", *[f"_in_{d}" for d in AXES], "_middle"]
 
 
@@ -79,9 +81,10 @@ def _halves(df: DataFrame) -> DataFrame:
 
 
 def _subtract(a: DataFrame, b: DataFrame, earlier: bool) -> DataFrame:
-    """The parts of a's boxes outside b; with ``earlier`` only boxes that come before a's in the order of bounds are taken away.
+    """The parts of a's boxes outside b, with the box they are of (_of); with ``earlier`` only boxes that come before a's in the order
+    of bounds are taken away.
 
-    a has one row per box; the pieces carry the box they are of, as their place in that order. A piece's resolution is the finest
+    a has one row per box. A piece's resolution is the finest
     of the boxes that cut it. A heavy piece that no box covers has a bound inside, and splitting leaves fewer, so the rounds end.
     """
     pieces = a.withColumn("_of", box_struct())
@@ -95,12 +98,12 @@ def _subtract(a: DataFrame, b: DataFrame, earlier: bool) -> DataFrame:
         whole = F.max(contains("b_", "a_"))
         counted = written(pairs.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), whole.alias("_gone"), *_bounds_inside()), "counted")
         met = written(named.join(counted, key, "left"), "met")
-        done.append(met.filter("_n is null").select(*[F.col(f"a_{c}").alias(c) for c in REGION]))
+        done.append(met.filter("_n is null").select(*[F.col(f"a_{c}").alias(c) for c in ("_of", *REGION)]))
         folds = met.filter(F.col("_n").isNotNull() & ~F.col("_gone") & (F.col("_n") <= FOLD)).drop("_n", "_gone", *_INSIDE)
         lists = overlap_join(folds, b, on=before).groupBy(*[f"a_{c}" for c in ("_of", *REGION)]).agg(F.collect_list(box_struct("b_")).alias("_bs"), F.max("b_z").alias("b_z"), F.collect_set("b_i").alias("_is"))
         finest = F.aggregate("_is", F.col("a_i"), gcd)
-        parts = lists.select(F.greatest("a_z", "b_z").alias("a_z"), finest.alias("a_i"), F.explode(minus(box_struct("a_"), F.col("_bs"))).alias("_p"))
-        done.append(written(parts.select(F.col("a_z").alias("z"), F.col("a_i").alias("i"), "_p.*"), "parts"))
+        parts = lists.select(F.col("a__of").alias("_of"), F.greatest("a_z", "b_z").alias("z"), finest.alias("i"), F.explode(minus(box_struct("a_"), F.col("_bs"))).alias("_p"))
+        done.append(written(parts.select("_of", "z", "i", "_p.*"), "parts"))
         heavy = met.filter(F.col("_n").isNotNull() & ~F.col("_gone") & (F.col("_n") > FOLD))
         if heavy.isEmpty():
             break
@@ -111,7 +114,7 @@ def _subtract(a: DataFrame, b: DataFrame, earlier: bool) -> DataFrame:
 def disjoint(df: DataFrame) -> DataFrame:
     """The same region in boxes that share nothing."""
     each = written(_distinct(df.select(*REGION)), "distinct")
-    return _subtract(each, each, earlier=True)
+    return _subtract(each, each, earlier=True).select(*REGION)
 
 
 def union(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -121,7 +124,19 @@ def union(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """a without b; disjoint if a's boxes are."""
-    return _subtract(written(_distinct(a.select(*REGION)), "minuend"), b.select(*REGION), earlier=False)
+    return _subtract(written(_distinct(a.select(*REGION)), "minuend"), b.select(*REGION), earlier=False).select(*REGION)
+
+
+def outside(rows: DataFrame, area: DataFrame) -> DataFrame:
+    """The parts of rows' boxes outside a region, each with its row's other columns. A part is named at the finest resolution of its
+    row and of the boxes that cut it, a whole box at its row's own."""
+    parts = _subtract(written(_distinct(rows.select(*REGION)), "minuend"), area.select(*REGION), earlier=False)
+    parts = parts.select(*[F.col(f"_of.{c}").alias(f"_of_{c}") for c in BOX], *[F.col(c).alias(f"_p_{c}") for c in REGION])
+    same = reduce(Column.__and__, [F.col(c) == F.col(f"_of_{c}") for c in BOX])
+    uncut = reduce(Column.__and__, [F.col(f"_p_{c}") == F.col(f"_of_{c}") for c in BOX])
+    resolution = {"z": F.when(uncut, F.col("z")).otherwise(F.greatest("z", "_p_z")), "i": F.when(uncut, F.col("i")).otherwise(gcd(F.col("i"), F.col("_p_i")))}
+    bounds = {c: F.col(f"_p_{c}") for c in BOX}
+    return rows.join(parts, same).select(*[(resolution | bounds).get(c, F.col(c)).alias(c) for c in rows.columns])
 
 
 def complement(df: DataFrame) -> DataFrame:
@@ -138,17 +153,30 @@ def equal(a: DataFrame, b: DataFrame) -> bool:
     return difference(a, b).isEmpty() and difference(b, a).isEmpty()
 
 
-def coalesce(df: DataFrame, passes: int = 1, axes: str = "fxyt") -> DataFrame:
-    """Merges boxes of one resolution that touch or overlap along one axis and agree in the others, axis by axis."""
-    for _ in range(passes):
-        for d in axes:
-            lo, hi = f"{d}_lo", f"{d}_hi"
-            others = ["z", "i", *[c for c in BOX if c[0] != d]]
-            order = Window.partitionBy(*others).orderBy(lo, hi)
-            gap = F.col(lo) > F.max(hi).over(order.rowsBetween(Window.unboundedPreceding, -1))
-            df = df.withColumn("_new", F.coalesce(gap, F.lit(True)).cast("int"))
-            df = df.withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-            df = df.groupBy(*others, "_island").agg(F.min(lo).alias(lo), F.max(hi).alias(hi)).select(*REGION)
+def _merged(df: DataFrame, d: str) -> DataFrame:
+    """Boxes that touch or overlap along one axis and agree in all else, as one. Repeats go before the shuffle."""
+    lo, hi = f"{d}_lo", f"{d}_hi"
+    others = ["z", "i", *[c for c in BOX if c[0] != d]]
+    df = df.groupBy(*others, lo).agg(F.max(hi).alias(hi))
+    order = Window.partitionBy(*others).orderBy(lo)
+    gap = F.col(lo) > F.max(hi).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    df = df.withColumn("_new", F.coalesce(gap, F.lit(True)).cast("int"))
+    df = df.withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return df.groupBy(*others, "_island").agg(F.min(lo).alias(lo), F.max(hi).alias(hi)).select(*REGION)
+
+
+def coalesce(df: DataFrame, passes: int | None = 1, axes: str = "fxyt") -> DataFrame:
+    """Merges boxes of one resolution that touch or overlap along one axis and agree in the others, axis by axis, so often, or
+    with None until no two boxes are left that can be merged."""
+    have, i = None, 0
+    while passes is None or i < passes:
+        df, i = reduce(_merged, axes, df), i + 1
+        if passes is None:
+            df = written(df, "merged")
+            n = df.count()
+            if n == have:
+                break
+            have = n
     return df
 
 
@@ -168,8 +196,14 @@ def change_scale(df: DataFrame, z: int | None = None, i: int | None = None) -> D
     return out
 
 
-def to_pure(df: DataFrame) -> DataFrame:
-    """Each box as its single cells of f, x and y at its own zoom; time stays as it is. Columns beyond the box are repeated."""
+def to_pure(df: DataFrame, most: int = MOST_CELLS) -> DataFrame:
+    """Each box as its single cells of f, x and y at its own zoom; time stays as it is. Columns beyond the box are repeated. A box of
+    more than ``most`` cells is an error when it is read, not a list that no executor can hold."""
+    cells = F.lit(1.0)
+    for d in "xyf":
+        first, last = steps(d)
+        cells = cells * (last - first + 1)
+    df = df.withColumn("z", F.when(cells <= most, F.col("z")).otherwise(F.raise_error(F.concat(F.lit("a box of "), cells.cast("decimal(38,0)").cast("string"), F.lit(f" cells is not listed; the limit is {most}"))).cast("int")))
     for d in "xyf":
         first, last = steps(d)
         unit = F.expr(f"shiftleft(1L, {FINEST} - z)")

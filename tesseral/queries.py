@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -216,12 +217,97 @@ def show_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(i, k) for i, k in enumerate(_catalog(spark).keys("events"))], "seq int, key string")
 
 
+def _store(spark: SparkSession, kind: str, rows: DataFrame, value: str) -> Engine:
+    """An engine with one key, s/k, that holds the rows' values."""
+    engine = Engine(spark)
+    _run(engine, {"AddSpace": {"spacename": "s"}}, {"AddKey": AT | {"type": kind}})
+    engine.load("s", "k", rows, value)
+    return engine
+
+
+def _run(engine: Engine, *commands: dict | str) -> list[dict]:
+    """The results of one packet."""
+    return json.loads(engine.execute(json.dumps({"command": list(commands)})))
+
+
+AT = {"spacename": "s", "keyname": "k"}
+SHOWN = {"vertex": False, "center": False, "id_string": True, "id_pure": False}
+
+
+def _set(**axes: object) -> dict:
+    return {"SpaceTimeIdSet": [{"f": "Any", "x": "Any", "y": "Any", "i": 0, "t": "Any"} | axes]}
+
+
+def _everywhere(engine: Engine) -> DataFrame:
+    """All values with the text of where they hold, and the box that the text names."""
+    rows = engine.get_value("s", "k", _set(z=0), **SHOWN)
+    return rows.select("v_int", "id_string", B.box_of_text(F.col("id_string")).alias("_b")).select("v_int", "id_string", "_b.*")
+
+
+def _cells_of(df: DataFrame, z: int) -> DataFrame:
+    for d in "fxy":
+        df = df.withColumn(d, F.explode(F.expr(f"sequence(shiftright({d}_lo, {FINEST - z}), shiftright({d}_hi - 1, {FINEST - z}))")))
+    return df.select("v_int", "f", "x", "y").distinct()
+
+
+def command_set_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SetValue of 3 in a literal region, beside the zones' values; cells by value, read from the identifiers' texts."""
+    engine = _store(spark, "INT", _valued_zones(spark, sf_dir), "v_int")
+    area = {"Prefix": {"OR": [_set(z=3, f={"LimitRange": [-1, 0]}, x={"LimitRange": [2, 5]}, y={"LimitRange": [1, 3]}), _set(z=4, f={"Single": 1}, y={"LimitRange": [3, 9]})]}}
+    assert _run(engine, {"SetValue": AT | {"range": area, "value": {"INT": 3}}}) == [{"Success": "Success"}]
+    return _cells_of(_everywhere(engine), Z)
+
+
+def command_put_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether PutValue of each number in a literal region clashes with the zones' values."""
+    engine = _store(spark, "INT", _valued_zones(spark, sf_dir), "v_int")
+    area = _set(z=3, f={"Single": 0}, x={"Single": 7}, y={"Single": 0})
+    out = _run(engine, *[{"PutValue": AT | {"range": area, "value": {"INT": v}}} for v in range(6)])
+    return spark.createDataFrame([(v, "Error" in r) for v, r in enumerate(out)], "v_int int, conflict boolean")
+
+
+def command_delete_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DeleteValue of cells finer than the zones; what is left, read from the identifiers' texts."""
+    engine = _store(spark, "INT", _valued_zones(spark, sf_dir), "v_int")
+    area = _set(z=Z + 1, f={"Single": 1}, x={"LimitRange": [3, 40]}, y={"LimitRange": [5, 31]})
+    assert _run(engine, {"DeleteValue": AT | {"range": area}}) == [{"Success": "Success"}]
+    return _cells_of(_everywhere(engine), Z + 1)
+
+
+def command_get_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The JSON rows of GetValue in 60 days and half of the grid."""
+    engine = _store(spark, "TEXT", layers.orders(spark, sf_dir), "o_orderpriority")
+    area = _set(z=2, f={"LimitRange": [-1, 0]}, x={"LimitRange": [0, 1]}, i=86400, t={"LimitRange": [9500, 9559]})
+    (out,) = _run(engine, {"GetValue": AT | {"range": area} | SHOWN})
+    return spark.createDataFrame([(r["value"]["TEXT"], r["id_string"]) for r in out["Success"]["GetValue"]], "priority string, id_string string")
+
+
+def command_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The JSON rows of Select of the sites in a literal region, as cells."""
+    engine = _store(spark, "INT", layers.sites(spark, sf_dir).withColumn("v", F.lit(1)), "v")
+    tree = {"Prefix": {"AND": [{"Function": {"HasValue": AT}}, _set(z=2, f={"LimitRange": [-1, 0]}, x={"LimitRange": [0, 2]})]}}
+    (out,) = _run(engine, {"Select": {"range": tree} | SHOWN})
+    rows = [Identifier.of(r["spacetimeid"]).box() for r in out["Success"]["SelectValue"]]
+    return voxels(spark.createDataFrame(rows, region.SCHEMA))
+
+
+def command_delete_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _run(_catalog(spark), {"DeleteKey": {"spacename": "events", "name": "alarm"}}, {"DeleteKey": {"spacename": "events", "name": "alarm"}}, {"Keys": {"spacename": "events"}})
+    return spark.createDataFrame([(i, k, "Error" in out[1]) for i, k in enumerate(out[2]["Success"]["KeyNames"])], "seq int, key string, twice_fails boolean")
+
+
+def filter_value_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FilterValue as the engine looks it up: the region of the lines of 10 to 12 pieces."""
+    engine = _store(spark, "INT", layers.lineitem(spark, sf_dir), "l_quantity")
+    return engine.lookup("s", "k", {"FilterINT": {"Between": [10, 12]}}).select("z", "i", *BOX)
+
+
 def version(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(__version__,)], "version string")
 
 
 def queries() -> dict[str, Query]:
-    named = [flagship_corridor_errors, id_display, id_normalize, coordinates, center, vertex_rows, change_scale_z, change_scale_i, coarsen, containment_pairs, to_pure, complement_voxels, disjoint_cells, region_equal, coalesce_adjacent, has_value, get_value, get_value_pure, put_conflicts, set_value_union, delete_value, nested_prefix, overlap_join_lines, show_spaces, show_keys, version]
+    named = [flagship_corridor_errors, id_display, id_normalize, coordinates, center, vertex_rows, change_scale_z, change_scale_i, coarsen, containment_pairs, to_pure, complement_voxels, disjoint_cells, region_equal, coalesce_adjacent, has_value, get_value, get_value_pure, put_conflicts, set_value_union, delete_value, nested_prefix, overlap_join_lines, show_spaces, show_keys, version, command_set_value, command_put_value, command_delete_value, command_get_value, command_select, command_delete_key, filter_value_region]
     out: dict[str, Query] = {f.__name__: f for f in named}
     out |= {f"region_{k}_voxels": _algebra(f) for k, f in (("and", region.intersection), ("or", region.union), ("xor", region.symmetric_difference), ("diff", region.difference))}
     out["region_not_voxels"] = lambda spark, sf_dir: voxels(region.complement(region.union(*_two(spark, sf_dir))))

@@ -114,6 +114,14 @@ SELECT o_orderkey, f, x, unnest(range(y_lo // {U8}, y_hi // {U8})) AS y, t_lo, t
     "show_spaces": "SELECT * FROM (VALUES (0, 'events'), (1, 'orders'), (2, 'lineitem')) v(seq, space)",
     "show_keys": "SELECT * FROM (VALUES (0, 'etype'), (1, 'alarm'), (2, 'level')) v(seq, key)",
     "version": "SELECT '0.0.2' AS version",
+    "command_set_value": f"WITH {SITES}, {ZONES}, {ALL}, {_cells('v', 'zo', 'v_int, ')} FROM v UNION (SELECT 3 AS v_int, f, x, y FROM u WHERE (f BETWEEN -4 AND 3 AND x BETWEEN 8 AND 23 AND y BETWEEN 4 AND 15) OR (f BETWEEN 2 AND 3 AND y BETWEEN 6 AND 19))",
+    "command_put_value": f"WITH {ZONES}, {_cells('v', 'zo', 'v_int, ')} SELECT CAST(n AS INTEGER) AS v_int, EXISTS (SELECT 1 FROM v WHERE v_int = n AND f BETWEEN 0 AND 3 AND x BETWEEN 28 AND 31 AND y BETWEEN 0 AND 3) AS conflict FROM (SELECT unnest(range(6)) AS n)",
+    "command_delete_value": f"""WITH {ZONES}, {_cells('v', 'zo', 'v_int, ')}, h AS (SELECT unnest([0, 1]) AS k)
+SELECT * FROM (SELECT v_int, 2 * f + i.k AS f, 2 * x + j.k AS x, 2 * y + l.k AS y FROM v, h i, h j, h l) WHERE NOT (f = 1 AND x BETWEEN 3 AND 40 AND y BETWEEN 5 AND 31)""",
+    "command_get_value": f"WITH {ORDERS}, {WEEK}, m AS (SELECT o_orderpriority, {CLIP.format('od', 'wk')} FROM od JOIN wk ON {OVERLAP.format('od', 'wk')}) SELECT o_orderpriority AS priority, {_text(8, 86400, 'm')} AS id_string FROM m",
+    "command_select": f"{BOTH}, {LIT} FROM a INTERSECT FROM c",
+    "command_delete_key": "SELECT * FROM (VALUES (0, 'etype', true), (1, 'level', true)) v(seq, key, twice_fails)",
+    "filter_value_region": f"WITH {LINES} SELECT 8 AS z, CAST(86400 AS BIGINT) AS i, {BOX} FROM li WHERE l_quantity BETWEEN 10 AND 12",
 }
 _INT = {"equal": "= 25", "notequal": "<> 25", "greaterthan": "> 45", "greaterequal": ">= 45", "lessthan": "< 5", "lessequal": "<= 5", "between": "BETWEEN 10 AND 12", "in": "IN (1, 7, 50)", "notin": "NOT IN (1, 7, 50)"}
 _TEXT = {"equal": "o_orderpriority = '1-URGENT'", "notequal": "o_orderpriority <> '1-URGENT'", "contains": "contains(o_orderpriority, '-')", "notcontains": "NOT contains(o_orderpriority, 'IG')", "startswith": "starts_with(o_orderpriority, '5')", "endswith": "ends_with(o_orderpriority, 'H')", "caseinsensitiveequal": "lower(o_orderpriority) = '2-high'"}

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tesseral.functions.boxes import gcd, id_text
+from tesseral.functions.boxes import box_of_text, gcd, id_text
 from tesseral.model import Identifier, Span
 from tesseral.operators import region
 from tesseral.operators.decorate import decorate, get_value_rows
@@ -117,6 +117,62 @@ def test_join_meets_once_and_plans_no_loop(spark):
     assert "NestedLoop" not in pairs._jdf.queryExecution().toString()
 
 
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_join_in_time(spark, monkeypatch, few):
+    """Boxes of all sizes in space and time, open ones too, shuffled or broadcast."""
+    from tesseral.functions.boxes import overlaps
+    from tesseral.operators import join
+
+    monkeypatch.setattr(join, "FEW", few)
+    r = random.Random(2)
+
+    def box() -> Identifier:
+        z, i = r.choice([0, 2, 8, 31]), r.choice([0, 1, 60, 86400])
+        cell = lambda d: Span(*sorted(r.randrange(min(2**z, 5)) for _ in range(2)))
+        lo = r.randrange(4)
+        t = Span() if i == 0 else r.choice([Span(lo, lo), Span(lo, lo + 9), Span(lo, None), Span(None, lo), Span(lo * 1000, lo * 1000 + 500)])
+        return Identifier.new(z, cell("f"), cell("x"), cell("y"), i, t)
+
+    a, b = (prefixed(region.literal(spark, [box() for _ in range(60)]), p) for p in ("a_", "b_"))
+    pairs, want = overlap_join(a, b), a.crossJoin(b).filter(overlaps("a_", "b_"))
+    assert sorted(map(tuple, pairs.collect())) == sorted(map(tuple, want.collect())) and want.count() > 100
+    assert "NestedLoop" not in pairs._jdf.queryExecution().toString()
+
+
+def test_parts_are_named(spark):
+    """Every part of a cut box has a text that names it, at the finest resolution of what cut it."""
+    row = region.literal(spark, [Identifier.new(2, Span(0, 0), Span(1, 1), Span(1, 1))]).withColumn("v", F.lit(7))
+    cut = region.literal(spark, [Identifier.new(3, Span(0, 0), Span(2, 2), Span(2, 2), 60, Span(5, 5))])
+    parts = region.outside(row.unionByName(row.withColumn("v", F.lit(8))), cut).withColumn("id", id_text())
+    for r in parts.collect():
+        assert Identifier.from_box(r.asDict()).box() == tuple(r[c] for c in region.REGION) and r["z"] == 3
+    read = parts.select("v", box_of_text(F.col("id")).alias("b"), F.struct(*region.REGION).alias("w"))
+    assert read.filter("b = w").count() == read.count() and read.groupBy("v").count().count() == 2
+    whole = region.outside(row, region.literal(spark, [Identifier.new(3, Span(1, 1), Span(7, 7), Span(2, 2))]))
+    assert whole.collect() == row.select(*whole.columns).collect()
+
+
+def test_texts_are_read(spark):
+    texts = ["4/5/3/10_60/100", "2/-1:0/-/1:-_0/-", "3/-:2/-:4/7_30/2:-", "0/-/-/-_0/-", "31/-5:-/0/9_1/-:8"]
+    ids = [Identifier.new(4, Span(5, 5), Span(3, 3), Span(10, 10), 60, Span(100, 100)), Identifier.new(2, Span(-1, 0), Span(), Span(1, None)), Identifier.new(3, Span(None, 2), Span(None, 4), Span(7, 7), 30, Span(2, None)), Identifier.new(0, Span(), Span(), Span()), Identifier.new(31, Span(-5, None), Span(0, 0), Span(9, 9), 1, Span(None, 8))]
+    rows = spark.createDataFrame([(t,) for t in [*texts, "no text", None]], "t string").select(box_of_text(F.col("t")).alias("b")).collect()
+    assert [tuple(r["b"]) for r in rows[:5]] == [i.box() for i in ids]
+    assert rows[5]["b"]["x_lo"] is None
+
+
+def test_cells_are_bounded(spark):
+    a = region.literal(spark, [Identifier.new(20, Span(0, 0), Span(), Span(3, 3))])
+    assert region.to_pure(a).count() == 2**20
+    with pytest.raises(Exception, match="1048576 cells is not listed"):
+        region.to_pure(a, most=1000).collect()
+
+
+def test_coalesce_to_the_end(spark):
+    """A box that only merges along y once its parts have merged along x, and so on, in an order of axes that takes several passes."""
+    ids = [Identifier.new(3, Span(0, 0), Span(x, x), Span(0, 0)) for x in range(4)] + [Identifier.new(3, Span(0, 0), Span(0, 3), Span(1, 1)), Identifier.new(3, Span(1, 1), Span(0, 3), Span(0, 1))]
+    assert [r[0] for r in region.coalesce(region.literal(spark, ids * 2), None, "fyx").select(id_text()).collect()] == ["3/0:1/-:3/-:1_0/-"]
+
+
 def test_gcd_and_coordinates(spark):
     row = spark.range(1).select(gcd(F.lit(84), F.lit(36)), gcd(F.lit(0), F.lit(5)), gcd(F.lit(7), F.lit(0))).first()
     assert tuple(row) == (12, 5, 7)
