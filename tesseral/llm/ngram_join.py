@@ -242,13 +242,13 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(tokens):
                 continue
             order = np.argsort(tokens, kind="stable")
-            tokens, owner, space, spare = tokens[order], owner[order], space[order], spare[order]
-            begin = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
+            ordered = tokens[order]
+            begin = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
             count = np.diff(np.append(begin, len(tokens)))
             nth = np.arange(len(tokens)) - np.repeat(begin, count)
-            known = np.isin(tokens[begin], heavy)
-            salted = np.repeat(known, count) | (nth >= HEAVY)
-            heavy = np.union1d(heavy, tokens[begin[count > HEAVY]])
+            salted = np.zeros(len(tokens), bool)  # the rows keep the order of sets, in which they take less room
+            salted[order] = np.repeat(np.isin(ordered[begin], heavy), count) | (nth >= HEAVY)
+            heavy = np.union1d(heavy, ordered[begin[count > HEAVY]])
             nodes = nodes[owner]
             salt = np.where(salted, (nodes % U(SALTS)).astype(np.int8) + 1, 0).astype(np.int8)
             columns = [tokens.view(np.int64), salt, nodes.view(np.int64), space, spare.astype(np.int32)]
