@@ -6,13 +6,14 @@ encoding, with row groups of a set size, limited data pages and page indexes. Re
 documents, don't read the other pages.
 
 Encoding works on the vocabulary's pre-tokens: their borders are found in numpy (the pattern of the tokenizer
-file, written as rules on character classes), the tokenizers library encodes each distinct pre-token once for a task's texts, and the
-ids of the texts are gathered from those. The result is the library's own encoding of the whole text: texts are cut at the added tokens of
+file, written as rules on character classes), the tokenizers library's model encodes each distinct pre-token once for a task's texts, and the
+ids of the texts are gathered from those; equal pre-tokens are told by their bytes. The result is the library's own encoding of the whole text: texts are cut at the added tokens of
 the tokenizer file, or, with ``literal``, special ones among them are text like any other (encode_special_tokens of the library).
 """
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 import unicodedata
@@ -26,10 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tesseral.llm.words import U, mix, text_slices
+from tesseral.llm.words import U, equal_words, text_slices, word_hashes
 from tesseral.llm.work import Scratch
 
 END_ID = 2
+#: Most bytes of text that a file is meant to hold.
+TEXT_BYTES = 64 << 20
 #: Bytes of text that are encoded at once; a longer text is one piece.
 SLICE = 1 << 19
 #: Distinct pre-tokens whose ids a task remembers, and then starts anew; those that are kept apart until they join the rest.
@@ -95,83 +98,75 @@ def pre_tokens(codes: np.ndarray, text_at: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begin)
 
 
-def _hashes(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    base = 0x9E3779B97F4A7C15 | 1
-    n = len(codes)
-    if len(_KEPT.get("up", ())) < n:
-        for name, b in (("up", base), ("down", pow(base, -1, 2**64))):
-            powers = np.full(max(n, SLICE + 200_000), U(b))
-            powers[0] = 1
-            _KEPT[name] = np.cumprod(powers)
-    sums = np.concatenate((np.zeros(1, U), np.cumsum((codes.astype(U) + U(1)) * _KEPT["up"][:n])))
-    ends = np.append(starts[1:], n)
-    return mix((sums[ends] - sums[starts]) * _KEPT["down"][starts] + (ends - starts).astype(U))
+def _signs() -> dict[int, int]:
+    """The vocabulary's character for each byte: printable ones stand for themselves, the others follow from 256 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}
 
 
 class Encoder:
-    """The tokenizers library behind a memory of distinct pre-tokens."""
+    """The tokenizers library behind a memory of distinct pre-tokens.
+
+    Pre-tokens are found by a hash of their bytes, and count as found only if the bytes agree. Only tokenizer files are taken whose
+    pre-tokenization this module knows: byte-level BPE with the pattern of ``pre_tokens`` and nothing before it.
+    """
 
     def __init__(self, file: str, literal: bool = True):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(file)
-        self.tokenizer.encode_special_tokens = True  # those that count are cut out before
-        added = {t.content: (i, t) for i, t in self.tokenizer.get_added_tokens_decoder().items() if not (literal and t.special)}
+        tokenizer = Tokenizer.from_file(file)
+        parts = json.loads(tokenizer.to_str())
+        before, model = parts["pre_tokenizer"] or {}, parts["model"]
+        if parts["normalizer"] or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True) or model.get("type", "BPE") != "BPE" or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+            raise ValueError("the tokenizer file must be byte-level BPE with the usual pattern, without normalizer")
+        self.model, self.signs = tokenizer.model, _signs()
+        added = {t.content: (i, t) for i, t in tokenizer.get_added_tokens_decoder().items() if not (literal and t.special)}
         if any(t.lstrip or t.rstrip or t.single_word for _, t in added.values()):
             raise ValueError("added tokens that depend on what stands beside them are not supported")
         self.added = {content: i for content, (i, _) in added.items()}
         self.cuts = re.compile("(" + "|".join(re.escape(c) for c in sorted(added, key=len, reverse=True)) + ")") if added else None
-        vocabulary = self.tokenizer.get_vocab()
-        self.size = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of each id
-        for piece, i in vocabulary.items():
-            self.size[i] = len(piece)
         self._forget()
 
     def _forget(self) -> None:
-        none = (np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int32))
-        self.tables = [none, none]  # sorted hashes, where their ids begin, and how many: the bulk, and the recent ones
-        self.ids = np.zeros(0, np.int32)
-
-    def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where the ids of each hash begin, -1 for unknown ones, and how many they are."""
-        first, count = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
-        for known, begin, many in self.tables:
+        none = (np.zeros(0, U), *(np.zeros(0, np.int64) for _ in range(4)))
+        #: Sorted hashes; where their ids begin, and how many; where their bytes begin, and how many: the bulk, and the recent ones.
+        self.tables = [none, none]
+        self.ids, self.bytes = np.zeros(0, np.int32), np.zeros(0, np.uint8)
+
+    def _find(self, hashes: np.ndarray, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the ids of each pre-token begin, -1 for unknown ones, how many they are, and whether another one has its hash."""
+        first, count, taken = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+        for known, begin, many, at_byte, size in self.tables:
             if len(known):
                 at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-                hit = known[at] == hashes
-                first[hit], count[hit] = begin[at[hit]], many[at[hit]]
-        return first, count
-
-    def _learn(self, hashes: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
-        first = np.concatenate((np.zeros(1, np.int64), np.cumsum(count)[:-1])) + len(self.ids)
+                hit = np.flatnonzero(known[at] == hashes)
+                at = at[hit]
+                same = (size[at] == length[hit]) & equal_words(data, start[hit], self.bytes, at_byte[at], np.minimum(size[at], length[hit]))
+                first[hit[same]], count[hit[same]], taken[hit[~same]] = begin[at[same]], many[at[same]], True
+        return first, count, taken
+
+    def _learn(self, hashes: np.ndarray, pieces: list[bytes], ids: np.ndarray, count: np.ndarray) -> None:
+        ends = lambda n: np.concatenate((np.zeros(1, np.int64), np.cumsum(n)[:-1]))
+        size = np.array([len(p) for p in pieces], np.int64)
+        fresh = (hashes, ends(count) + len(self.ids), count, ends(size) + len(self.bytes), size)
         self.ids = np.concatenate((self.ids, ids))
+        self.bytes = np.concatenate((self.bytes, np.frombuffer(b"".join(pieces), np.uint8)))
         place = np.searchsorted(self.tables[1][0], hashes)
-        self.tables[1] = tuple(np.insert(t, place, v) for t, v in zip(self.tables[1], (hashes, first, count), strict=True))
+        self.tables[1] = tuple(np.insert(t, place, v) for t, v in zip(self.tables[1], fresh, strict=True))
         if len(self.tables[1][0]) > RECENT:
             both = [np.concatenate(t) for t in zip(*self.tables, strict=True)]
             order = np.argsort(both[0], kind="stable")
-            bulk = tuple(t[order] for t in both)
-            ids = self.ids
+            kept = self.ids, self.bytes
             self._forget()
-            self.tables[0], self.ids = bulk, ids
-
-    def _library(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of pre-tokens one after another, and how many each has. White space apart, pre-tokens are sent together,
-        each after a line break, which keeps them apart; their byte lengths tell whose an id is."""
-        blank = np.array([p.isspace() for p in pieces], bool)
-        ids: list[np.ndarray] = [np.zeros(0, np.int32)] * len(pieces)
-        for i in np.flatnonzero(blank).tolist():
-            ids[i] = np.array(self.tokenizer.encode(pieces[i], add_special_tokens=False).ids, np.int32)
-        rest = np.flatnonzero(~blank)
-        for at in range(0, len(rest), 4000):
-            chosen = rest[at : at + 4000].tolist()
-            together = np.array(self.tokenizer.encode_batch_fast(["\n" + "\n".join(pieces[i] for i in chosen)], add_special_tokens=False)[0].ids, np.int32)
-            ends = np.cumsum(self.size[together])
-            lengths = np.array([len(pieces[i].encode()) + 1 for i in chosen])
-            upto = np.searchsorted(ends, np.cumsum(lengths), "left") + 1
-            for i, a, b in zip(chosen, [0, *upto[:-1].tolist()], upto.tolist(), strict=True):
-                ids[i] = together[a + 1 : b]
-        return np.concatenate(ids) if ids else np.zeros(0, np.int32), np.array([len(x) for x in ids], np.int64)
+            self.tables[0], (self.ids, self.bytes) = tuple(t[order] for t in both), kept
+
+    def _library(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pre-tokens one after another, and how many each has, by the library's own merges."""
+        signs = b"".join(pieces).decode("latin-1").translate(self.signs)
+        upto = np.cumsum([0, *map(len, pieces)]).tolist()
+        found = [[t.id for t in self.model.tokenize(signs[a:b])] for a, b in zip(upto[:-1], upto[1:], strict=True)]
+        return np.array([i for ids in found for i in ids], np.int32), np.array([len(ids) for ids in found], np.int64)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and how many each has."""
@@ -188,21 +183,38 @@ class Encoder:
         return np.insert(ids, upto[between], tokens).astype(np.int32), whole + np.array([len(parts) // 2 for parts in split])
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        whole = "".join(texts)
+        codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+        data = np.frombuffer(whole.encode("utf-8", "surrogatepass"), np.uint8)
         text_at = np.concatenate((np.zeros(1, np.int64), np.cumsum([len(t) for t in texts], dtype=np.int64)))
         starts = pre_tokens(codes, text_at)
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
-        hashes, where, back = np.unique(_hashes(codes, starts), return_index=True, return_inverse=True)
+        begin = starts
+        if len(data) > len(codes):  # places of code points to places of bytes
+            begin = np.concatenate((np.zeros(1, np.int64), np.cumsum(1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF))))[starts]
+        length = np.diff(np.append(begin, len(data)))
+        all_hashes = word_hashes(data, begin, begin + length)
+        hashes, where, back = np.unique(all_hashes, return_index=True, return_inverse=True)
+        one = where[back]
+        odd = (length != length[one]) | ~equal_words(data, begin, data, begin[one], np.minimum(length, length[one]))
+        if odd.any():  # another pre-token of the same hash in these texts: each occurrence for itself
+            hashes, where = np.concatenate((hashes, all_hashes[odd])), np.concatenate((where, np.flatnonzero(odd)))
+            back = back.copy()
+            back[odd] = np.arange(len(hashes) - odd.sum(), len(hashes))
         if sum(len(t[0]) for t in self.tables) + len(hashes) > REMEMBERED:
             self._forget()
-        first, count = self._find(hashes)
-        new = first < 0
-        if new.any():
-            ends = np.append(starts[1:], len(codes))[where[new]].tolist()
-            pieces = [codes[a:b].tobytes().decode("utf-32-le", "surrogatepass") for a, b in zip(starts[where[new]].tolist(), ends, strict=True)]
-            self._learn(hashes[new], *self._library(pieces))
-            first, count = self._find(hashes)
+        first, count, taken = self._find(hashes, data, begin[where], length[where])
+        new = np.flatnonzero(first < 0)
+        if len(new):
+            pieces = [data[a : a + n].tobytes() for a, n in zip(begin[where[new]].tolist(), length[where[new]].tolist(), strict=True)]
+            ids, many = self._library(pieces)
+            upto = np.cumsum(many)
+            first[new], count[new] = upto - many + len(self.ids), many
+            if taken.any() or odd.any():  # what shares a hash is not remembered
+                self.ids = np.concatenate((self.ids, ids))
+            else:
+                self._learn(hashes[new], pieces, ids, many)
         each = count[back]
         total = np.concatenate((np.zeros(1, np.int64), np.cumsum(each)))
         source = np.repeat(first[back] - total[:-1], each) + np.arange(total[-1])
@@ -234,9 +246,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, *, key: str =
     A null text counts as empty and has the end id alone. With ``literal`` the special tokens' texts are plain text, else they give their ids. Other columns are not read; an empty table writes empty files.
     """
     spark = docs.sparkSession
-    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    ordered = ordered.repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", "text")
+    if partitions is None:
+        size = ordered.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TEXT_BYTES))
+    ordered = ordered.repartitionByRange(partitions, "doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, start, known = TaskContext.get().partitionId(), 0, encoder(tokenizer_file, literal)

@@ -59,6 +59,25 @@ def word_hashes(lower: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return out
 
 
+def equal_words(one: np.ndarray, a: np.ndarray, other: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether the bytes of ``one`` from a and of ``other`` from b are equal over a length, for arrays of places and lengths."""
+    eights = []
+    for data in (one, other):
+        padded = np.zeros(len(data) + 8, np.uint8)
+        padded[: len(data)] = data
+        eights.append(np.ndarray(len(data) + 1, "<u8", padded, strides=(1,)))
+    same = np.ones(len(length), bool)
+    for i in np.flatnonzero(length > LONG_WORD).tolist():
+        same[i] = np.array_equal(one[a[i] : a[i] + length[i]], other[b[i] : b[i] + length[i]])
+    left, k = np.flatnonzero(length <= LONG_WORD), 0
+    while len(left):
+        rest = length[left] - k
+        same[left] &= ((eights[0][a[left] + k] ^ eights[1][b[left] + k]) & _LEFT[np.minimum(rest, 8)]) == 0
+        k += 8
+        left = left[rest > 8]
+    return same
+
+
 def text_slices(column: pa.Array, limit: int = BLOCK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, bytes, offsets) of pieces of about ``limit`` bytes of a string column; nulls are empty."""
     column = column.cast(pa.large_string()) if not pa.types.is_large_string(column.type) else column
