@@ -8,7 +8,7 @@ it, many in lockstep in numpy; the shards' results are merged by score.
 
 Exact copies are one vertex that carries its smallest ids, as many as a result can hold, so a large group of copies
 neither fills a neighbourhood nor leaves the results. The scores that are returned are inner products in double precision of the vectors
-as given. Vectors of another length than the query's are never its neighbours.
+as given; graphs of vectors of doubles are built and searched in double precision, too. Vectors of another length than the query's are never its neighbours.
 """
 
 from __future__ import annotations
@@ -33,7 +33,17 @@ BUILD_WIDTH, SEARCH_WIDTH = 48, 96
 SHARD_ROWS, SHARDS = 20_000, 12
 #: Vertices that are linked by brute force before the graph is searched, and those that are inserted at once.
 FIRST, TOGETHER = 512, 256
-INDEX = "dim int, shard int, slot int, vector array<float>, ids array<long>, level int, links array<int>"
+
+
+def index_schema(kind: str = "float") -> str:
+    """Columns of an index of vectors of float or double components."""
+    return f"dim int, shard int, slot int, vector array<{kind}>, ids array<long>, level int, links array<int>"
+
+
+def _kind(df: DataFrame, vector: str) -> str:
+    """float for arrays of float, else double: vectors are kept, searched and scored as they are given."""
+    return "float" if df.schema[vector].dataType.simpleString() == "array<float>" else "double"
+
 
 
 def _diverse(near: np.ndarray, ids: np.ndarray, vectors: np.ndarray, most: int) -> np.ndarray:
@@ -60,7 +70,7 @@ def _search(vectors: np.ndarray, links: np.ndarray, queries: np.ndarray, entry:
     seen[:, -1] = True  # -1
     seen[rows, entry] = True
     ids = np.full((n, width), -1, np.int64)
-    near = np.full((n, width), -np.inf, np.float32)
+    near = np.full((n, width), -np.inf, vectors.dtype)
     first = np.where(entry >= 0, np.einsum("qed,qd->qe", vectors[np.maximum(entry, 0)], queries), -np.inf)
     ids[:, : entry.shape[1]], near[:, : entry.shape[1]] = entry, first
     order = np.argsort(-near, axis=1, kind="stable")
@@ -103,11 +113,19 @@ class Graph:
 
 
 def equally_long(vectors: np.ndarray) -> np.ndarray:
-    """The vectors with one more component, so that all are as long as the longest (then 1)."""
-    squares = (vectors.astype(np.float64) ** 2).sum(axis=1)
-    most = max(float(squares.max()), 1e-300) if len(squares) else 1.0
-    out = np.concatenate((vectors, np.sqrt(np.maximum(most - squares, 0))[:, None]), axis=1)
-    return (out / np.sqrt(most)).astype(np.float32)
+    """The vectors with one more component, so that all are as long as the longest (then 1), in their own precision."""
+    exact = vectors.astype(np.float64)
+    exact /= max(float(np.abs(exact).max(initial=0)), np.finfo(np.float64).tiny)  # so that no square overflows
+    squares = (exact**2).sum(axis=1)
+    most = max(float(squares.max(initial=0)), np.finfo(np.float64).tiny)
+    return (np.concatenate((exact, np.sqrt(np.maximum(most - squares, 0))[:, None]), axis=1) / np.sqrt(most)).astype(vectors.dtype)
+
+
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    """Each vector at length 1, with a last component of 0."""
+    exact = vectors / np.maximum(np.abs(vectors).max(axis=1, keepdims=True), np.finfo(vectors.dtype).tiny).astype(np.float64)
+    exact /= np.linalg.norm(exact, axis=1, keepdims=True)
+    return np.concatenate((exact, np.zeros((len(exact), 1))), axis=1).astype(vectors.dtype)
 
 
 def _insert(vectors: np.ndarray, links: np.ndarray, rows: np.ndarray, near: np.ndarray, ids: np.ndarray) -> None:
@@ -175,7 +193,7 @@ def _levels(n: int, seed: int) -> np.ndarray:
 
 def _build_shard(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values("spot", kind="stable")  # a hash: the upper layers are drawn at random
-    vectors = np.stack(rows["vector"].to_numpy()).astype(np.float32)
+    vectors = np.stack(rows["vector"].to_numpy())
     levels = _levels(len(rows), int(rows["shard"].iloc[0]))
     graph = build(equally_long(vectors), levels)
     links = [np.concatenate([layer[i] for layer in graph.layers[: level + 1]]).astype(np.int32) for i, level in enumerate(levels.tolist())]
@@ -190,14 +208,14 @@ def usable(vector: Column) -> Column:
 
 
 def index(points: DataFrame, path: str, *, key: str = "vec_id", vector: str = "embedding", k: int = 20) -> DataFrame:
-    """Writes the shards' graphs of all usable vectors to path and reads them back (columns INDEX).
+    """Writes the shards' graphs of all usable vectors to path and reads them back (columns index_schema()).
 
     Rows without an id and vectors that are not usable() take no part; rows that repeat an id and its vector count once. Each distinct vector
     carries its k + 1 smallest ids. An empty table writes an empty index.
     """
-    spark = points.sparkSession
+    spark, kind = points.sparkSession, _kind(points, vector)
     scratch = Scratch(spark, "ann-index")
-    clean = points.filter(F.col(key).isNotNull() & usable(F.col(vector))).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("vector"))
+    clean = points.filter(F.col(key).isNotNull() & usable(F.col(vector))).select(F.col(key).cast("long").alias("id"), F.col(vector).cast(f"array<{kind}>").alias("vector"))
     few = F.row_number().over(Window.partitionBy("vector").orderBy("id"))
     # the bound on the rank is applied before the shuffle, too, so copies of one vector are not gathered
     first = clean.dropDuplicates(["id", "vector"]).withColumn("_nth", few).filter(F.col("_nth") <= k + 1)
@@ -205,8 +223,9 @@ def index(points: DataFrame, path: str, *, key: str = "vec_id", vector: str = "e
     vertices = scratch.write(vertices.withColumns({"dim": F.size("vector"), "spot": F.xxhash64("vector")}), "vertices")
     shards = max(SHARDS, -(-vertices.count() // SHARD_ROWS))
     dealt = vertices.withColumn("shard", F.pmod("spot", F.lit(shards)).cast("int")).repartitionById(shards, F.col("shard"))
-    dealt.groupBy("dim", "shard").applyInPandas(_build_shard, INDEX).write.mode("overwrite").parquet(path)
-    return spark.read.schema(INDEX).parquet(path)
+    dealt.groupBy("dim", "shard").applyInPandas(_build_shard, index_schema(kind)).write.mode("overwrite").parquet(path)
+    scratch.drop()
+    return spark.read.schema(index_schema(kind)).parquet(path)
 
 
 class _Shard:
@@ -236,8 +255,7 @@ def _search_shards(k: int, width: int):
         step = max(16, min(TOGETHER, 32_000_000 // len(shard.vectors)))
         for at in range(0, len(names), step):
             some = vectors[at : at + step]
-            queries = np.concatenate((some / np.maximum(np.linalg.norm(some, axis=1, keepdims=True), 1e-30), np.zeros((len(some), 1))), axis=1).astype(np.float32)
-            _, found = shard.graph.search(queries, width)
+            _, found = shard.graph.search(_unit(some), width)
             exact = np.einsum("qed,qd->qe", shard.exact[np.maximum(found, 0)], some.astype(np.float64))
             exact[found < 0] = -np.inf
             order = np.argsort(-exact, axis=1, kind="stable")[:, : k + 1].tolist()
@@ -279,7 +297,7 @@ def search(indexed: DataFrame, queries: DataFrame, *, key: str = "vec_id", vecto
     Queries without an id and vectors that are not usable() give no rows; fewer rows than k come if the index holds fewer.
     A query that is repeated with one vector counts once.
     """
-    asked = queries.filter(F.col(key).isNotNull() & usable(F.col(vector))).select(F.col(key).cast("long").alias("slot"), F.col(vector).cast("array<float>").alias("vector"))
+    asked = queries.filter(F.col(key).isNotNull() & usable(F.col(vector))).select(F.col(key).cast("long").alias("slot"), F.col(vector).cast(indexed.schema["vector"].dataType).alias("vector"))
     asked = asked.dropDuplicates(["slot", "vector"]).withColumn("dim", F.size("vector"))
     shards = indexed.agg(F.max("shard")).first()[0]
     shards = 1 if shards is None else shards + 1

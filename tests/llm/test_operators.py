@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import agree
 from pyspark.sql import functions as F
@@ -150,16 +151,26 @@ def test_decontamination(spark):
     rows = {r["doc_id"]: r for r in decontaminate.find_spans(docs, bench).collect()}
     hit = {k: len({i for s in r["spans"] for i in range(s["first"], s["first"] + s["n"])}) for k, r in rows.items()}
     assert hit == {1: 16, 2: 0, 3: 0, 4: 0, 5: 14}
-    assert {s["item_id"] for s in rows[1]["spans"]} == {"1", "2"}
+    assert rows[1]["items"] == ["1", "2"] and rows[4]["items"] == []
     kept = decontaminate.decontaminate(docs, bench)
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 4]
     assert decontaminate.decontaminate(docs, bench.filter("false")).count() == 5
-    small = {r["doc_id"]: set(r["spans"]) for r in decontaminate.find_spans(docs, bench, max_windows=1).collect()}
-    assert small == {k: set(r["spans"]) for k, r in rows.items()}
+    small = {r["doc_id"]: (set(r["spans"]), r["items"]) for r in decontaminate.find_spans(docs, bench, max_windows=1).collect()}
+    assert small == {k: (set(r["spans"]), r["items"]) for k, r in rows.items()}
+    assert decontaminate.find_spans(docs.filter("false"), bench).count() == 0
     cut = {r["doc_id"]: r["text"] for r in decontaminate.cut_spans(docs, bench).collect()}
     assert "q" not in cut[1].lower() and cut[4] == "q0 q1 q2 clean" and cut[2] is None
 
 
+def test_shared_windows():
+    """Many items of one text: one list of items, and one span per place."""
+    text = " ".join(f"q{i}" for i in range(12))
+    (known,) = decontaminate.window_sets(((str(k), text) for k in range(20_000)), 10, 10**6)
+    assert len(known.hashes) == 3 and len(known.items) == 60_000
+    sizes, spans, items = decontaminate._scan(known, pa.array([f"a {text} b", None, "q1"]))
+    assert sizes == [14, 0, 1] and spans[0] == [{"first": i, "n": 10} for i in (1, 2, 3)] and items[0] == sorted(map(str, range(20_000))) and items[1] == []
+
+
 @pytest.fixture(scope="module")
 def labeller():
     return html_blocks.train(pages=400)
@@ -207,6 +218,11 @@ def test_urls(spark):
     assert rows[0] == ("a.example.net", "/en/x", "example.net/en/", "allow")
     assert rows[1] == ("example.net", "", None, "allow") and rows[2][2:] == ("example.com/de/", "block") == rows[7][2:]
     assert rows[3] == rows[4] == ("", "", None, "allow") and rows[5][2] == "org/fr/" and rows[6][2] is None
+    long = [(1, "http://" + "a." * 20_000 + "net/en/" + "x" * 100_000), (2, "http://x.net./"), (3, "http://.net/")]
+    many = spark.createDataFrame([*URL_RULES, *[(f"net/{'y' * n}/", "block") for n in range(1500)]], "rule string, verdict string")
+    judged = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_rules.judge(spark.createDataFrame(long, "page_id long, url string"), many).collect()}
+    assert judged == {1: ("net/", "block"), 2: (None, "allow"), 3: ("net/", "block")}
+    assert url_rules.judge(spark.createDataFrame([], "page_id long, url string"), rules).count() == 0
     none = url_rules.judge(spark.createDataFrame([(1, "http://a.net/")], "page_id long, url string"), rules.filter("false")).first()
     assert none["verdict"] == "allow" and none["rule"] is None
 
@@ -233,6 +249,37 @@ def test_ann(spark, sf_dir):
     assert {r["query_id"] for r in found} == {i for i in v if i % 20 == 0}
 
 
+def recall(spark, vectors: np.ndarray, kind: str, k: int = 20) -> float:
+    """Share of the exact neighbours of every 20th vector that a search finds; scores are checked to the last bit."""
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], f"vec_id long, embedding array<{kind}>")
+    found = ann.search(ann.index(df, Scratch(spark, "t").path("index")), df.filter("vec_id % 20 = 0")).toPandas()
+    exact, good, queries = vectors.astype(np.float64), 0, range(0, len(vectors), 20)
+    for q in queries:
+        mine = found[found.query_id == q]
+        near = exact @ exact[q]
+        assert np.allclose(mine.score, near[mine.vec_id], rtol=1e-15, atol=1e-15) and len(mine) == k
+        near[q] = -np.inf
+        good += len(set(np.argsort(-near, kind="stable")[:k]) & set(mine.vec_id))
+    return good / (k * len(queries))
+
+
+def test_ann_large_shards(spark, monkeypatch):
+    """Thousands of vectors a shard: most are inserted by search, in several layers."""
+    monkeypatch.setattr(ann, "SHARDS", 2)
+    r = np.random.default_rng(4)
+    centres = r.normal(size=(40, 24))
+    vectors = (centres[r.integers(0, 40, 7000)] + 0.7 * r.normal(size=(7000, 24))).astype(np.float32)
+    assert recall(spark, vectors, "float") >= 0.9
+
+
+def test_ann_doubles(spark):
+    """Vectors that only doubles tell apart, and components beyond the range of floats."""
+    r = np.random.default_rng(6)
+    close = 1 + 1e-9 * r.normal(size=(600, 16))
+    assert recall(spark, close, "double") >= 0.9
+    assert recall(spark, r.normal(size=(300, 8)) * 1e100, "double") >= 0.9
+
+
 def test_language(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = langid.train(docs, piece_file())
