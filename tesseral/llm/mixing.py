@@ -109,10 +109,12 @@ def mix(
 
     Those five names replace columns of the same name; other columns, also clashing ones, stay. Null texts and texts
     without words have size 0, no rank and 0 copies taken; a null source is a source of its own, the last; null ids share one
-    random number. Rows that tie in rank, id and size stand or fall together. An empty table gives an empty table.
+    random number. Rows that tie in rank, id and size are told apart by a hash of their text; of equal rows at the cut as many are taken
+    as bring the source nearest to its target. An empty table gives an empty table; long texts are only counted.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
-    units = docs.select(F.col(key).alias("_key"), F.col(source).alias("_src"), word_count(F.col(text)).alias("_size"))
+    own = [F.col(key).alias("_key"), F.col(source).alias("_src"), word_count(F.col(text)).alias("_size"), F.xxhash64(text).alias("_text")]
+    units = docs.select(*own)
     units = scratch.write(units, "units")
     by_weight = units.groupBy("_src", F.length(F.bin("_size")).alias("_w")).agg(F.sum("_size").alias("_words"), F.count(F.lit(1)).alias("_n"))
     by_weight = scratch.write(by_weight, "histogram")
@@ -120,25 +122,37 @@ def mix(
     shares = scratch.write(targets(sizes, weights, share, max_copies), "targets")
     levels = scratch.write(_levels(by_weight.filter("_words > 0"), shares, max_copies), "levels")
     levels = broadcast_if_small(levels)
-    ranked = _ranked(units, levels, seed, "_key").filter("_q is not null").select("_src", "_slot", "_q", "_key", "_size", "_sampled")
+    ranked = _ranked(units, levels, seed, "_key").filter("_q is not null").select("_src", "_slot", "_q", "_key", "_size", "_text", "_sampled")
     slots = ranked.groupBy("_src", "_slot").agg(F.sum("_size").alias("_in"), F.max("_sampled").alias("_need"))
     upto = Window.partitionBy("_src").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     slots = slots.withColumn("_before", F.coalesce(F.sum("_in").over(upto), F.lit(0)))
     edge = slots.filter("_before < _need and _need <= _before + _in").select(F.col("_src").alias("_s"), F.col("_slot").alias("_edge"), "_before")
     edge = broadcast_if_small(scratch.write(edge, "edges"))
     inside = ranked.join(edge, _same("_src", "_s") & (F.col("_slot") == F.col("_edge"))).drop("_s")
-    order = Window.partitionBy("_src").orderBy("_q", "_key", "_size").rowsBetween(Window.unboundedPreceding, 0)
-    upto_here = F.col("_before") + F.sum("_size").over(order)
-    inside = inside.withColumn("_fits", upto_here - F.col("_size") / 2 <= F.col("_sampled"))
-    cut = inside.groupBy("_src").agg(F.max("_edge").alias("_edge"), F.max(F.when(F.col("_fits"), F.struct("_q", "_key", "_size"))).alias("_last"))
-    cut = broadcast_if_small(scratch.write(cut.withColumnRenamed("_src", "_s"), "cuts"))
+    rank = F.struct("_q", "_key", "_size", "_text")
+    # equal rows are one row here, with their number
+    inside = inside.groupBy("_src", "_q", "_key", "_size", "_text", "_edge", "_before", "_sampled").agg(F.count(F.lit(1)).alias("_equal"))
+    order = Window.partitionBy("_src").orderBy("_q", "_key", "_size", "_text").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.col("_before") + F.coalesce(F.sum(F.col("_size") * F.col("_equal")).over(order), F.lit(0))
+    fit = F.floor((F.col("_sampled") - start) / F.col("_size") + 0.5)  # the n-th of them is taken if start + (n - 1/2) * size is not beyond
+    inside = inside.withColumn("_fit", F.greatest(F.lit(0), F.least("_equal", fit)))
+    last = F.max(F.when(F.col("_fit") > 0, F.struct(rank.alias("rank"), "_fit", "_equal")))
+    cut = inside.groupBy("_src").agg(F.max("_edge").alias("_edge"), last.alias("_last"))
+    cut = cut.select(F.col("_src").alias("_s"), "_edge", F.col("_last.rank").alias("_last"), F.col("_last._fit").alias("_fit"), (F.col("_last._fit") < F.col("_last._equal")).alias("_split"))
+    cut = broadcast_if_small(scratch.write(cut, "cuts"))
     shares = broadcast_if_small(shares.select(F.col("_src").alias("_s2"), F.col("_total").alias("_all"), F.col("_target").alias("_goal")))
 
     names = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies", "taken")]
-    out = docs.select(F.struct(*docs.columns).alias("_row"), F.col(key).alias("_key"), F.col(source).alias("_src"), word_count(F.col(text)).alias("_size"))
+    out = docs.select(F.struct(*docs.columns).alias("_row"), *own)
     out = _ranked(out, levels, seed, "_key").join(cut, _same("_src", "_s"), "left").drop("_s")
     out = out.join(shares, _same("_src", "_s2"), "left")
-    at_edge = (F.col("_slot") == F.col("_edge")) & F.coalesce(F.struct("_q", "_key", "_size") <= F.col("_last"), F.lit(False))
+    at_edge = (F.col("_slot") == F.col("_edge")) & F.coalesce(rank <= F.col("_last"), F.lit(False))
+    if not cut.filter("_split").isEmpty():  # of equal rows at the cut some are taken: they are numbered
+        tied = F.coalesce(F.col("_split") & (F.col("_slot") == F.col("_edge")) & (rank == F.col("_last")), F.lit(False))
+        nth = F.row_number().over(Window.partitionBy("_src").orderBy(F.lit(0)))
+        some = out.filter(tied).withColumn("_late", nth > F.col("_fit"))
+        out = out.filter(~tied).withColumn("_late", F.lit(False)).unionByName(some)
+        at_edge = at_edge & ~F.col("_late")
     sampled = F.col("_q").isNotNull() & (F.col("_edge").isNull() | (F.col("_slot") < F.col("_edge")) | at_edge)
     copies = F.when(F.col("_size") > 0, F.coalesce(F.col("_certain"), F.lit(0)) + F.coalesce(sampled, F.lit(False)).cast("long")).otherwise(0)
     out = out.withColumn("_copies", copies.cast("long"))

@@ -143,6 +143,17 @@ def test_mixing(spark, docs):
     assert mixing.mix(docs.filter("false")).count() == 0
 
 
+def test_mixing_repeated_rows(spark):
+    """Equal rows, and rows without an id, are taken one by one: a source comes within a row of its target."""
+    five = "a b c d e"
+    equal = [(7, five, "a", "x")] * 400 + [(None, five, "a", "x")] * 300 + [(None, f"{i} b c d e", "a", "x") for i in range(300)]
+    rows = mixing.mix(spark.createDataFrame(equal + [(i, "w " * 40, "b", "x") for i in range(1000)] + [(i, "v " * 9, None, "x") for i in range(3000)], SCHEMA)).collect()
+    for source in ("a", "b", None):
+        mine = [r for r in rows if r["source"] == source]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= mine[0]["size"] / 2 + 1e-6
+        assert sum(r["taken"] for r in mine) > 0 and all(r["taken"] <= 2 * r["size"] for r in mine)
+
+
 def test_decontamination(spark):
     item = " ".join(f"q{i}" for i in range(14))
     bench = spark.createDataFrame([(1, item), (2, "Short Item"), (2, "Short Item"), (3, None), (4, "...")], "item_id long, text string")
