@@ -6,8 +6,9 @@ is the sum over all its segmentations into pieces, by the forward algorithm, and
 maximisation over all segmentations of the words of a bounded sample of labelled texts. The posterior of the likeliest
 language, all being equally likely beforehand, is the score.
 
-Words are runs of letters and non-ASCII characters, lower-cased; digits and signs say nothing. Runs of more than LONGEST bytes
-are scored in pieces of that length. Tasks score each distinct word once, for all languages and many words at a time, in numpy.
+Words are runs of letters and non-ASCII characters, lower-cased; digits and signs say nothing. Tasks score each distinct word once, for
+all languages and many words at a time, in numpy; a longer run is summed by itself, a block at a time with the sums of the last positions
+that a piece can reach back to, so the result is exact for runs of any length. Only for learning are runs of more than LONGEST bytes cut.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from pyspark.sql import types as T
 from tesseral.llm.words import U, byte_table, mix, text_slices, word_spans
 
 LETTERS = byte_table(bytes([*range(0x00, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
-#: Bytes of a word that are scored at once, and of the longest vocabulary piece in use.
-LONGEST, PIECE = 96, 16
+#: Bytes of words that are scored many at a time, and positions of a longer one that are scored at once.
+LONGEST, REACH = 96, 4096
 #: Labelled texts per language that a model is fitted on, about.
 TRAINING_TEXTS = 200
 #: Distinct words whose probabilities a task remembers; then it starts anew.
@@ -42,7 +43,7 @@ def vocabulary(file: str) -> list[bytes]:
     for i in range(model.vocab_size()):
         if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)):
             pieces.add(model.id_to_piece(i).replace("▁", " ").encode())
-    return sorted(p for p in pieces if 0 < len(p) <= PIECE)
+    return sorted(pieces - {b""})
 
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -71,8 +72,9 @@ class Lattice:
             mask = np.zeros(1 << 16, bool)
             mask[(mix(hashes[ids]) >> U(48)).astype(np.int64)] = True
             self.by_length[n] = (hashes[ids][order], ids[order], mask)
-        self.up = np.array([pow(_BASE, k, 2**64) for k in range(LONGEST + 2)], U)
-        self.down = np.array([pow(pow(_BASE, -1, 2**64), k, 2**64) for k in range(LONGEST + 2)], U)
+        self.longest = max(self.by_length)
+        powers = lambda base: np.cumprod(np.concatenate((np.ones(1, U), np.full(REACH + self.longest + 1, base, U))))
+        self.up, self.down = powers(_BASE), powers(pow(_BASE, -1, 2**64))
 
     def arcs(self, words: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """For words of one length (a row of bytes each): (end, piece length, rows, piece ids), by rising end."""
@@ -89,6 +91,21 @@ class Lattice:
                 yield end, n, rows[found], ids[at[found]]
 
 
+    def arcs_of(self, text: np.ndarray, after: int) -> tuple[list[int], list[int], list[int]]:
+        """For one stretch of bytes: ends beyond ``after``, piece lengths and piece ids, by rising end."""
+        sums = np.concatenate((np.zeros(1, U), np.cumsum((text.astype(U) + U(1)) * self.up[: len(text)])))
+        parts = []
+        for n, (hashes, ids, mask) in self.by_length.items():
+            end = np.arange(max(n, after + 1), len(text) + 1)
+            key = (sums[end] - sums[end - n]) * self.down[end - n]
+            near = np.flatnonzero(mask[(mix(key) >> U(48)).astype(np.int64)])
+            at = np.minimum(np.searchsorted(hashes, key[near]), len(hashes) - 1)
+            found = hashes[at] == key[near]
+            parts.append(np.stack((end[near[found]], np.full(found.sum(), n), ids[at[found]])))
+        every = np.concatenate(parts, axis=1)
+        return tuple(every[:, np.argsort(every[0], kind="stable")].tolist())
+
+
 def _forward(words: np.ndarray, arcs: list, chance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Scaled forward sums [position, word, language] and the logarithms of the scales [position, word]."""
     alpha = np.zeros((words.shape[1] + 1, len(words), chance.shape[1]))
@@ -151,9 +168,35 @@ class Scorer:
         self.known = np.zeros(0, U)
         self.values = np.zeros((0, len(self.model.languages)), np.float32)
 
+    def long_word(self, word: bytes) -> np.ndarray:
+        """As words() for one word of any length. Each language has a scale of its own, as sums over long runs are far apart."""
+        text = np.frombuffer(b" " + word, np.uint8)
+        chance, back = self.model.chance, self.lattice.longest
+        ones = np.ones(len(self.model.languages))
+        last = [(ones, 0 * ones)]  # of the positions up to the present one: sums, and the logarithms of their scales
+        for at in range(0, len(text), REACH):
+            begin = max(0, at - back)
+            ends, lengths, ids = self.lattice.arcs_of(text[begin : at + REACH], at - begin)
+            k = 0
+            for end in range(at - begin + 1, min(REACH, len(text) - at) + at - begin + 1):
+                scale = last[-1][1]
+                total = 0 * ones
+                while k < len(ends) and ends[k] == end:
+                    before, its = last[-lengths[k]]
+                    total = total + before * chance[ids[k]] * np.exp(its - scale)
+                    k += 1
+                last.append((ones, scale + np.log(total)))
+                if len(last) > 2 * back:
+                    del last[:-back]
+        return last[-1][1]
+
     def words(self, words: list[bytes]) -> np.ndarray:
         out = np.zeros((len(words), len(self.model.languages)), np.float32)
-        for where, matrix in _by_length(words):
+        short = [i for i, w in enumerate(words) if len(w) <= LONGEST]
+        for i in sorted({*range(len(words))} - {*short}):
+            out[i] = self.long_word(words[i])
+        for part, matrix in _by_length([words[i] for i in short]):
+            where = np.array(short)[part]
             arcs = list(self.lattice.arcs(matrix))
             alpha, scale = _forward(matrix, arcs, self.model.chance)
             out[where] = np.log(np.maximum(alpha[-1], 1e-300)) + scale[-1][:, None]
@@ -163,7 +206,7 @@ class Scorer:
         """log P(text | language) of each text of an Arrow column of lower-cased texts."""
         parts = [np.zeros((0, len(self.model.languages)))]
         for _, _, data, offsets in text_slices(column):
-            starts, ends, hashes = split_long(*word_spans(data, offsets, LETTERS), data)
+            starts, ends, hashes = word_spans(data, offsets, LETTERS)
             distinct, where, back = np.unique(hashes, return_index=True, return_inverse=True)
             if len(self.known) + len(distinct) > REMEMBERED:
                 self._forget()
@@ -183,7 +226,7 @@ class Scorer:
 
 
 def split_long(starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Cuts words of more than LONGEST bytes into pieces of at most that length."""
+    """Cuts words of more than LONGEST bytes into pieces of at most that length, to learn from."""
     long = np.flatnonzero(ends - starts > LONGEST)
     if not len(long):
         return starts, ends, hashes
@@ -254,7 +297,8 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, vocabulary_file: str, *, key: str = "doc_id", text: str = "text", label: str = "lang", per_language: int = TRAINING_TEXTS) -> Model | None:
     """A model from about per_language texts of each language (chosen by a hash of the id) among those not held out.
 
-    The words of this bounded sample are counted by Spark; their counts are fitted on the driver. None without labelled texts.
+    The words of this bounded sample are counted by Spark; their counts are fitted on the driver. None without labelled texts. The
+    model has a column for each language, so labels are meant to be language names, not free text.
     """
     labelled = docs.filter(F.col(label).isNotNull() & F.col(text).isNotNull() & ~held_out(F.col(key)))
     sizes = {r[0]: r[1] for r in labelled.groupBy(label).count().collect()}
@@ -274,7 +318,7 @@ def classify(docs: DataFrame, model: Model | None, *, text: str = "text") -> Dat
     """docs with lang_pred and lang_score; the two names replace columns of the same name.
 
     Texts that are null or have no letter are "und" with score 0, as are all texts without a model. Every row is judged by
-    its text alone, so copies agree.
+    its whole text alone, so copies agree. An empty table gives an empty table.
     """
     keep = [c for c in docs.columns if c not in ("lang_pred", "lang_score")]
     letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))

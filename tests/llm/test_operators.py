@@ -291,7 +291,7 @@ def test_ann_doubles(spark):
     assert recall(spark, r.normal(size=(300, 8)) * 1e100, "double") >= 0.9
 
 
-def test_language(spark, sf_dir):
+def test_language(spark, sf_dir, monkeypatch):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = langid.train(docs, piece_file())
     word = "die".encode()
@@ -304,6 +304,19 @@ def test_language(spark, sf_dir):
         return sum(model.chance[pieces[text[:k]]] * every_segmentation(text[k:]) for k in range(1, len(text) + 1) if text[:k] in pieces)
 
     assert np.allclose(scorer.words([word])[0], np.log(every_segmentation(b" " + word)), atol=1e-4)
+    assert max(map(len, model.pieces)) == scorer.lattice.longest > 16
+    long = "bundesverfassungsgerichtsentscheidung".encode() + "конституционного".encode()
+    one = np.array([0.0] + [-np.inf] * (len(long) + 1))[None].repeat(len(model.languages), 0).T  # plain log sums over all positions
+    for end in range(1, len(long) + 2):
+        for n in range(1, end + 1):
+            if (piece := (b" " + long)[end - n : end]) in pieces:
+                one[end] = np.logaddexp(one[end], one[end - n] + np.log(model.chance[pieces[piece]]))
+    assert np.allclose(scorer.words([long])[0], one[-1], rtol=1e-5) and np.allclose(scorer.long_word(long), one[-1])
+    monkeypatch.setattr(langid, "REACH", 7)
+    assert np.allclose(scorer.long_word(long), one[-1])
+    monkeypatch.undo()
+    run = long * 40
+    assert np.allclose(scorer.words([run, word])[0], scorer.long_word(run)) and len(run) > langid.LONGEST
     out = langid.classify(docs, model).filter(langid.held_out(F.col("doc_id"))).filter("lang is not null and lang_pred <> 'und'")
     assert out.filter("lang = lang_pred").count() >= 0.9 * out.count()
     odd = spark.createDataFrame([(1, None), (2, ""), (3, "12 34"), (4, "x" * 300_000)], "doc_id long, text string")
