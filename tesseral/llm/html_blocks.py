@@ -76,10 +76,30 @@ def blocks(page: str, kept: dict | None = None) -> list[Block]:
     kept = {} if kept is None else kept
     out: list[Block] = []
     stack: list[tuple[str, tuple[int, ...]]] = []
+    places: dict[str, list[int]] = {}  # where elements of a name stand in the stack
+    borders: list[int] = []  # where block elements do
+    unseen = 0
     text: list[str] = []
     linked = plain = 0
     inner: set[int] = set()  # inline elements around some of the block's text
 
+    def push(name: str, tokens: tuple[int, ...]) -> None:
+        nonlocal unseen
+        places.setdefault(name, []).append(len(stack))
+        if name in BLOCK:
+            borders.append(len(stack))
+        unseen += name in UNSEEN
+        stack.append((name, tokens))
+
+    def cut(depth: int) -> None:
+        nonlocal unseen
+        while len(stack) > depth:
+            name, _ = stack.pop()
+            places[name].pop()
+            if name in BLOCK:
+                borders.pop()
+            unseen -= name in UNSEEN
+
     def border() -> None:
         nonlocal linked, plain
         if text:
@@ -95,19 +115,17 @@ def blocks(page: str, kept: dict | None = None) -> list[Block]:
 
     def add(piece: str) -> None:
         nonlocal linked, plain
-        if any(name in UNSEEN for name, _ in stack):
+        if unseen:
             return
         piece = html_entities.unescape(piece) if "&" in piece else piece
         text.append(piece)
         size = len(piece.strip())
         if size:
-            if any(name == "a" for name, _ in stack):
+            if places.get("a"):
                 linked += size
             else:
                 plain += size
-            for name, tokens in reversed(stack):
-                if name in BLOCK:
-                    break
+            for _, tokens in stack[max(borders[-1] + 1 if borders else 0, len(stack) - DEPTH) :]:
                 inner.update(tokens)
 
     at, end = 0, len(page)
@@ -142,25 +160,26 @@ def blocks(page: str, kept: dict | None = None) -> list[Block]:
         elif name == "br":
             text.append(" ")
         if closing:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
+            depth = places[name][-1] if places.get(name) else None
             # an inline element doesn't reach over the block element around it
-            if depth is not None and (name in BLOCK or name in UNSEEN or all(n not in BLOCK for n, _ in stack[depth:])):
-                del stack[depth:]
+            if depth is not None and (name in BLOCK or name in UNSEEN or not borders or borders[-1] < depth):
+                cut(depth)
             continue
-        if name in BLOCK:
-            block = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in BLOCK), None)
-            if block is not None and stack[block][0] in CLOSES.get(name, {"p"}):
-                del stack[block:]
+        if name in BLOCK and borders and stack[borders[-1]][0] in CLOSES.get(name, {"p"}):
+            cut(borders[-1])
         if name in VOID or attributes.endswith("/") and name not in BLOCK:
             continue
-        if name == "body":  # an unclosed head ends here
-            stack = [s for s in stack if s[0] not in UNSEEN]
-        stack.append((name, _element_tokens(name, attributes, kept)))
+        if name == "body" and unseen:  # an unclosed head ends here
+            seen = [s for s in stack if s[0] not in UNSEEN]
+            cut(0)
+            for s in seen:
+                push(*s)
+        push(name, _element_tokens(name, attributes, kept))
         if name in RAW:
             close = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
             if name == "textarea" and (close is None or close.start() > at):
                 add(page[at : close.start() if close else end])
-            stack.pop()
+            cut(len(stack) - 1)
             border() if name == "textarea" else None
             at = end if close is None else close.end()
     border()
@@ -210,8 +229,8 @@ class Labeller:
             parts.append((total[at[1:]] - total[at[:-1]]) / scale)
         return np.concatenate(parts, axis=1), (path, path_at, words, word_at)
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, way: str) -> tuple[np.ndarray, list]:
-        """States of one direction for x [time, page, size]; padded steps keep the state."""
+    def _run(self, x: np.ndarray, mask: np.ndarray, way: str, keep: bool = True) -> tuple[np.ndarray, list]:
+        """States of one direction for x [time, page, size], and with ``keep`` what the gradient needs; padded steps keep the state."""
         steps, pages, _ = x.shape
         h = c = np.zeros((pages, STATE), np.float32)
         w, u, b = (self.weights[f"{way}_{k}"] for k in "xhb")
@@ -226,7 +245,8 @@ class Labeller:
             new_c = np.where(m, f * c + i * g, c)
             tanh_c = np.tanh(new_c)
             new_h = np.where(m, o * tanh_c, h)
-            kept[t] = (i, f, o, g, c, tanh_c, h, m)
+            if keep:
+                kept[t] = (i, f, o, g, c, tanh_c, h, m)
             h, c = new_h, new_c
             out[t] = h
         return out, kept
@@ -269,7 +289,7 @@ class Labeller:
             some = [pages[k] for k in chosen]
             flat = np.concatenate([self.vectors(p)[0] for p in some])
             x, mask = self._padded(some, flat)
-            states = [self._run(x, mask, way)[0] for way in ("forth", "back")]
+            states = [self._run(x, mask, way, keep=False)[0] for way in ("forth", "back")]
             p = _sigmoid(np.concatenate((*states, x), axis=2) @ self.weights["out"] + self.weights["bias"])
             for j, k in enumerate(chosen):
                 out[k] = p[: len(pages[k]), j]
