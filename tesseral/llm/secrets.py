@@ -1,6 +1,6 @@
 """Secret scans: patterns find candidates in whole texts, a random forest removes false findings.
 
-A candidate is the value of an assignment to a telling name (password, token, key ...), a long run of characters that keys
+A candidate is the value of an assignment to a telling name (password, token, key ...), the password of a login in a url, a long run of characters that keys
 are written in, or a private key from its opening line to its END line (without one, to the end of its base64 lines). The forest's inputs are the candidate's length and mix of characters, its
 character transitions (how likely they are in dictionary words, and how often letters and digits alternate), how much of it
 dictionary words cover, words of the document's path, and the neighbouring words. It is trained from labelled findings: a table
@@ -30,6 +30,7 @@ TREES, TREE_DEPTH, LEAST_LEAF = 30, 9, 4
 FINDING = T.StructType([T.StructField(n, t) for n, t in (("start", T.LongType()), ("length", T.LongType()), ("kind", T.StringType()), ("score", T.DoubleType()), ("secret", T.BooleanType()))])
 
 _ASSIGNED = re.compile(r"""(?i)(?:passw(?:or)?d|passphrase|pwd|secret|token|credential|api[_-]?key|access[_-]?key|private[_-]?key|auth)[\w-]{0,20}["']?[ \t]*(?:=>|:=|=|:)[ \t]*["']?([^\s"'<>,;]{6,})""")
+_LOGIN = re.compile(r"""(?i)\b[a-z][a-z0-9+.-]{1,20}://[^\s/:@"'<>]{0,100}:([^\s/@"'<>]{3,200})@""")
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
 _BLOCK = re.compile(r"-----(BEGIN|END) [A-Z ]{0,30}PRIVATE KEY-----")
 # after an opening line without an END line: header lines, if base64 lines follow, then these and a last, shorter one
@@ -37,6 +38,8 @@ _GAP = r"""(?:\s|\\[rn]|["'>#*,;])+"""
 _BODY = re.compile(rf"""(?:(?:{_GAP}[A-Za-z][A-Za-z-]{{1,30}}: [^\n\\]{{0,200}}){{0,9}}(?:{_GAP}[A-Za-z0-9+/]{{32,}}={{0,2}})+(?:{_GAP}[A-Za-z0-9+/]{{1,80}}={{0,2}}(?=[ \t"'\\,;]*(?:[\r\n\\]|$)))?)?""")
 _WORD = re.compile(r"[a-z]+")
 
+# How issuers' keys begin.
+_ISSUED = re.compile(r"(?:gh[pousr]_|github_pat_|glpat-|sk-|sk_live_|rk_live_|AKIA|ASIA|xox[abprs]-|AIza|ya29\.|npm_|SG\.|eyJ)")
 # Words that speak for and against a secret, by where they stand.
 _FOR = frozenset("token secret password passwd pwd key apikey api auth bearer credential credentials private access authorization login".split())
 _AGAINST = frozenset("commit sha hash checksum digest md5 uuid guid revision etag fingerprint integrity build version image id file example sample placeholder dummy fake changeme your test mock xxx".split())
@@ -52,7 +55,7 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
             ended = following is not None and following.group(1) == "END"
             found[m.start(), following.end() if ended else _BODY.match(text, m.end()).end()] = "key block"
     blocks = sorted(found)
-    for m in _ASSIGNED.finditer(text):
+    for m, kind in ((m, kind) for pattern, kind in ((_LOGIN, "login"), (_ASSIGNED, "assigned")) for m in pattern.finditer(text)):
         a, b = m.span(1)
         k = bisect_left(blocks, (a + 1,))
         if k and blocks[k - 1][1] > a:
@@ -61,10 +64,11 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
             b = blocks[k][0]
             if b < a + 6:
                 continue
-        while b > a + 6 and text[b - 1] in ".)]}":
+        while kind == "assigned" and b > a + 6 and text[b - 1] in ".)]}":
             b -= 1
-        found.setdefault((a, b), "assigned")
-    inside = sorted(found)
+        found.setdefault((a, b), kind)
+    inside = _apart(found)
+    found = {(a, b): found[a, b] for a, b in inside}
     k = 0
     for m in _RUN.finditer(text):
         a, b = m.span()
@@ -76,6 +80,15 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     return sorted((a, b, kind) for (a, b), kind in found.items())
 
 
+def _apart(found: dict[tuple[int, int], str]) -> list[tuple[int, int]]:
+    """Places in order, without those that begin inside an earlier one: of a url assigned to a name, say, the name's value stays."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(found, key=lambda x: (x[0], -x[1])):
+        if not out or a >= out[-1][1]:
+            out.append((a, b))
+    return out
+
+
 class Lexicon:
     """Dictionary words and the character transitions in them."""
 
@@ -114,7 +127,7 @@ class Lexicon:
         return float(self.log_chance[codes[:-1], codes[1:]].mean()) if len(codes) > 1 else 0.0
 
 
-FEATURES = ["length", "digits", "upper", "lower", "signs", "distinct", "entropy", "alternation", "transitions", "coverage", "hex", "assigned", "block", "word_for", "word_against", "near_for", "near_against", "value_against", "path_against", "quoted"]
+FEATURES = ["length", "digits", "upper", "lower", "signs", "distinct", "entropy", "alternation", "transitions", "coverage", "hex", "assigned", "block", "word_for", "word_against", "near_for", "near_against", "value_against", "path_against", "quoted", "issued", "login"]
 
 
 def features(value: str, before: str, after: str, path: str, kind: str, lexicon: Lexicon) -> list[float]:
@@ -147,6 +160,8 @@ def features(value: str, before: str, after: str, path: str, kind: str, lexicon:
         float(len(in_value & _AGAINST)),
         float(len(set(_WORD.findall(path.lower())) & _PATHS)),
         float(before[-1:] in ("'", '"')),
+        float(_ISSUED.match(value) is not None),
+        float(kind == "login"),
     ]
 
 
@@ -246,15 +261,18 @@ def labelled_findings(n: int = GENERATED, seed: int = 11) -> list[tuple[str, str
                 lambda: draw(hexa, one(32, 40, 64)),
                 lambda: draw(base62, int(rng.integers(16, 48))),
                 lambda: draw(base62 + "+/", one(40, 64, 88)) + one("", "=", "=="),
-                lambda: one("ghp_", "sk-", "AKIA", "xoxb-", "AIza") + draw(base62, int(rng.integers(16, 40))),
+                lambda: one("ghp_", "gho_", "glpat-", "sk-", "sk_live_", "AKIA", "xoxb-", "AIza", "npm_") + draw(base62, int(rng.integers(16, 40))),
                 lambda: draw(base62 + "!$%&#@", int(rng.integers(8, 16))),
+                lambda: one(str.title, str)(word() + one("", word())) + draw("0123456789", int(rng.integers(2, 5))) + one("", "!", "#", "$", "?"),
                 lambda: "eyJ" + draw(base62, 20) + ".eyJ" + draw(base62, 40) + "." + draw(base62 + "-_", 43),
-            ][rng.integers(6)]()
+            ][rng.integers(7)]()
             before = f"{prose(3)} {name}{sign}{quote}"
             if rng.random() < 0.1:
                 kind, value, before = "key block", _key_block(rng, draw, base62 + "+/"), prose(3) + "\n"
-            elif rng.random() < 0.15 and len(value) >= 20:
-                kind, before = "run", f"{prose(2)} {one('bearer', 'authorization', 'key', 'login')} "
+            elif rng.random() < 0.08:
+                kind, before, quote = "login", f"{prose(2)} {word()}://{word()}:", "@" + word()
+            elif len(value) >= 20 and (_ISSUED.match(value) or rng.random() < 0.15):
+                kind, before = "run", f"{prose(2)} {prose(1) if _ISSUED.match(value) else one('bearer', 'authorization', 'key', 'login')} "
         else:
             kind, label = "run", 0
             before = f"{prose(3)} {one('commit', 'sha', 'checksum', 'md5', 'uuid', 'revision', 'digest', 'id', prose(1), prose(1))}{one(' ', ': ', '=')}{quote}"
@@ -269,7 +287,9 @@ def labelled_findings(n: int = GENERATED, seed: int = 11) -> list[tuple[str, str
             if rng.random() < 0.45:
                 kind = "assigned"
                 before = f"{prose(3)} {one('token', 'password', 'secret', 'api_key', 'auth')}{sign}{quote}"
-                value = one("changeme", "your_token_here", "example", "placeholder", "XXXXXXXXXXXX", "<password>", "${SECRET_TOKEN}", "process.env.TOKEN", "os.environ", "required", "getpass()", "test1234test", "None", "string", word() + word(), word() + word() + word())
+                if rng.random() < 0.1:
+                    kind, before, quote = "login", f"{prose(2)} {word()}://{word()}:", "@" + word()
+                value = one("pass", "password", "xxxx", "****", "$PASSWORD", "{password}", "changeme", "your_token_here", "example", "placeholder", "XXXXXXXXXXXX", "<password>", "${SECRET_TOKEN}", "process.env.TOKEN", "os.environ", "required", "getpass()", "test1234test", "None", "string", word() + word(), word() + word() + word())
             if rng.random() < 0.3:
                 path = one("tests/test_app.py", "docs/example.md", "examples/demo.py", "package.lock", "fixtures/mock.json")
         out.append((value, before, quote + " " + prose(3), path, kind, label))
@@ -281,8 +301,8 @@ def train(lexicon: Lexicon, findings: DataFrame | None = None, rows: int = TRAIN
     at most ``rows`` of them by hash; from generated ones if there are none."""
     if findings is not None:
         drawn = findings.filter("candidate is not null and label is not null")
-        drawn = drawn.orderBy(F.xxhash64("candidate", "before", "after"), "candidate").limit(rows)
-        table = [(r[0], r[1] or "", r[2] or "", r[3] or "", _kind(r[0], r[1] or ""), int(r[4])) for r in drawn.select("candidate", "before", "after", "path", "label").collect()]
+        drawn = drawn.orderBy(F.xxhash64("candidate", "before", "after"), "candidate", "before", "after", "path", "label").limit(rows)
+        table = [(r[0], r[1] or "", r[2] or "", r[3] or "", _kind(r[0], r[1] or "", r[2] or ""), int(r[4])) for r in drawn.select("candidate", "before", "after", "path", "label").collect()]
     else:
         table = labelled_findings()
     if not table:
@@ -291,8 +311,8 @@ def train(lexicon: Lexicon, findings: DataFrame | None = None, rows: int = TRAIN
     return Scanner(lexicon, fit(x, np.array([r[5] for r in table])))
 
 
-def _kind(candidate: str, before: str) -> str:
-    found = candidates(before + candidate)
+def _kind(candidate: str, before: str, after: str) -> str:
+    found = candidates(before + candidate + after)
     return next((k for a, _, k in found if a == len(before)), "run")
 
 
@@ -308,7 +328,8 @@ def scan_text(text: str, path: str, scanner: Scanner) -> list[dict]:
 def scan(docs: DataFrame, scanner: Scanner, *, text: str = "text", path: str | None = "source") -> DataFrame:
     """docs with findings, an array of (start, length, kind, score, secret); the name replaces a column of the same name.
 
-    Null and empty texts have no findings; a null path is the empty one. Rows are scanned one by one, so copies agree.
+    Null and empty texts have no findings; a null path is the empty one. Rows are scanned one by one, so copies agree; long texts are
+    scanned whole. An empty table gives an empty table.
     """
     keep = [c for c in docs.columns if c != "findings"]
     shared = docs.sparkSession.sparkContext.broadcast(scanner)  # a fixed vocabulary and TREES trees
