@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and is written as Parquet and read again.
 All stages but the last return the columns of documents.
+
+Null and empty texts, and texts without a letter, go at the first stage. Rows with a null id are linked with nothing, share one
+draw in the mix and come first in the token files. Rows that repeat an id are one document to the second stage, which keeps one of them; ties
+of equal rows in the mix are taken one by one. Columns that bear the names of a stage's own results travel through it unchanged. Texts of any
+length are read whole. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -57,9 +62,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
+    """All stages over documents; a stage's table is dropped when the next one is written."""
     scratch = Scratch(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for i, (name, stage) in enumerate(STAGES):
         docs = scratch.write(stage(spark, docs, sf_dir), f"{i}-{name}")
+        if before is not None:
+            scratch.drop(before)
+        before = f"{i}-{name}"
     return docs
