@@ -1,8 +1,10 @@
 """Spaces, keys and values, and the command interface over them.
 
 Values are rows of ``cells``: a value of the key's type and a box where it holds. Each key has a table of its own in the shared
-folder, replaced as a whole by a change (the one before stays until the session ends), so a query reads only the keys that it names, and filters on
-values reach the scan. The catalog of spaces and keys is a small driver-side structure, in order of creation.
+folder, so a query reads only the keys that it names, and filters on values reach the scan. A bulk load adds files to the table; any other
+change writes it anew, and the table before stays for frames that were made of it, the one before that is dropped. The catalog of spaces and keys
+is a small driver-side structure, in order of creation. ``execute`` gives JSON, so what it returns passes through the driver: large results are
+for get_value() and select(), which give DataFrames, and write_rows().
 """
 
 from __future__ import annotations
@@ -22,9 +24,11 @@ from tesseral.operators import region
 from tesseral.operators.decorate import get_value_rows, select_rows
 from tesseral.operators.join import overlap_join, prefixed
 from tesseral.plans.ranges import build, is_disjoint
-from tesseral.shared import written
+from tesseral.shared import Table, written
 from tesseral.sources.packets import read_packet, value_of
 
+#: Clashing boxes that an error names; it counts the others.
+NAMED = 20
 VALUES = "v_int int, v_text string, v_bool boolean, v_float float, seq long"
 _NAME = re.compile(r"[-A-Za-z0-9_.@+=]*")
 
@@ -39,7 +43,7 @@ class Engine:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.spaces: dict[str, dict[str, str]] = {}
-        self.tables: dict[tuple[str, str], DataFrame] = {}
+        self.tables: dict[tuple[str, str], list[Table]] = {}
         self.sequence = 0
 
     # --- catalog -------------------------------------------------------------------------------------------------
@@ -91,7 +95,14 @@ class Engine:
         """The rows of a key: z, i, bounds, the four value columns, and seq, the order of the values."""
         self._key(space, key, errors.GET_KEY)
         have = self.tables.get((space, key))
-        return have if have is not None else self.spark.createDataFrame([], f"{region.SCHEMA}, {VALUES}")
+        return have[-1].read() if have else self.spark.createDataFrame([], f"{region.SCHEMA}, {VALUES}")
+
+    def _replace(self, space: str, key: str, rows: DataFrame) -> None:
+        """A new table of the key; of those before, the last stays."""
+        old = self.tables.get((space, key), [])
+        self.tables[space, key] = [*old[-1:], Table(rows, "cells")]
+        for table in old[:-1]:
+            table.drop()
 
     def load(self, space: str, key: str, df: DataFrame, value: str) -> None:
         """Bulk form of SetValue: the boxes of df with the value in a column. Boxes of one value may then overlap."""
@@ -99,7 +110,10 @@ class Engine:
         rows = df.select(*region.REGION, *[(F.col(value) if c == VALUE[kind] else F.lit(None)).cast(t).alias(c) for c, t in zip(VALUE.values(), ("int", "string", "boolean", "float"), strict=True)])
         self.sequence += 1
         rows = rows.withColumn("seq", F.lit(self.sequence).cast("long"))
-        self.tables[space, key] = written(self.cells(space, key).unionByName(rows), "cells")
+        if (space, key) in self.tables:
+            self.tables[space, key][-1].append(rows)
+        else:
+            self._replace(space, key, rows)
 
     def lookup(self, space: str, key: str, condition: dict | None) -> DataFrame:
         """The region of a key's values that fit a filter, or of all."""
@@ -140,7 +154,7 @@ class Engine:
         whole = region.coalesce(region.union(same, area), None)
         rows = whole.select("*", *[F.lit(plain if c == VALUE[kind] else None).cast(cells.schema[c].dataType).alias(c) for c in VALUE.values()], F.lit(before or self.sequence).cast("long").alias("seq"))
         rest = cells.filter(~F.coalesce(F.col(VALUE[kind]) == F.lit(plain).cast(cells.schema[VALUE[kind]].dataType), F.lit(False)))
-        self.tables[space, key] = written(rest.unionByName(rows), "cells")
+        self._replace(space, key, rest.unionByName(rows))
 
     def put_value(self, space: str, key: str, node: dict, value: dict) -> None:
         """As set_value, but an error if the value holds somewhere in the region already."""
@@ -149,15 +163,17 @@ class Engine:
         same = self._of_value(self.cells(space, key), kind, plain).select(*region.REGION)
         clash = region.intersection(same, area)
         if not clash.isEmpty():
-            ids = [r[0] for r in clash.select(id_text().alias("id")).orderBy("id").limit(20).collect()]
-            raise errors.value_exists(", ".join(ids), errors.PUT)
+            clash = written(clash.select(id_text().alias("id")), "clash")
+            ids = [r[0] for r in clash.orderBy("id").limit(NAMED).collect()]
+            more = clash.count() - len(ids)
+            raise errors.value_exists(", ".join(ids) + (f" and {more} more" if more else ""), errors.PUT)
         self.set_value(space, key, node, value)
 
     def delete_value(self, space: str, key: str, node: dict) -> None:
         """Takes the region from every value; values without a region are gone."""
         area = written(self.range(node), "range")
         cells = self.cells(space, key)
-        self.tables[space, key] = written(without(cells, area), "cells")
+        self._replace(space, key, without(cells, area))
 
     def get_value(self, space: str, key: str, node: dict, **flags: bool) -> DataFrame:
         """Values and where they hold in the region: one row per box, or cell with id_pure."""
@@ -198,6 +214,12 @@ def without(cells: DataFrame, area: DataFrame) -> DataFrame:
     return region.outside(cells, area)
 
 
+def write_rows(df: DataFrame, path: str) -> None:
+    """Rows of get_value() or select() as JSON lines, written by Spark: the identifier's text, what was asked for, and the value."""
+    value = [F.coalesce(*[F.col(c).cast("string") for c in VALUE.values()]).alias("value")] if "seq" in df.columns else []
+    df.select(id_text().alias("spacetimeid"), "id_string", "vertex", "center", *value).write.mode("overwrite").json(path)
+
+
 def _json_rows(df: DataFrame, value: bool) -> list[dict]:
     out = []
     for r in (row.asDict(True) for row in df.orderBy(*(["seq"] if value else []), *BOX).toLocalIterator()):

@@ -16,6 +16,7 @@ ADD_SPACE, GET_SPACE, ADD_KEY, GET_KEY = "io::storage::add_space", "io::storage:
 FILTER, SET, PUT = "io::key::filter_value", "io::key::set_value", "io::key::put_value"
 RANGE, SELECT, PACKET = "command::tools::select::select", "command::select::select", "packet"
 
+# The rule for names, and the texts below.
 NAME_RULE = "only a-z, A-Z, 0-9, - _ . @ + = allowed, max 256 characters"
 
 

@@ -96,7 +96,7 @@ class Identifier:
     @staticmethod
     def new(z: int, f: Span, x: Span, y: Span, i: int = 0, t: Span = Span()) -> Identifier:  # noqa: B008
         if z > FINEST or z < 0:
-            raise ValueError(f"Zoom level z must be less than 32 to prevent overflow. Received: {z}.")
+            raise ValueError(f"zoom {z} is not in 0..{FINEST}")
         f, x, y = (_fitted(a, s, z) for a, s in zip("fxy", (f, x, y), strict=True))
         if i == 0 and (t.lo is not None or t.hi is not None):
             raise ValueError("t must be Any when time interval i is 0.")

@@ -23,13 +23,28 @@ def folder(spark: SparkSession) -> str:
     return own
 
 
+class Table:
+    """Rows written once, and read as often as needed: lineage ends here, and a lost executor costs a re-read only."""
+
+    def __init__(self, df: DataFrame, name: str):
+        self.spark, self.schema = df.sparkSession, df.schema
+        self.path = f"{folder(self.spark)}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(self.path)
+        atexit.register(_drop, self.spark, self.path)
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path)
+
+    def append(self, df: DataFrame) -> None:
+        df.select(*self.schema.names).write.mode("append").parquet(self.path)
+
+    def drop(self) -> None:
+        _drop(self.spark, self.path)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows, written once: lineage ends here, and a lost executor costs a re-read only."""
-    spark = df.sparkSession
-    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    """The rows of a table of their own, which stays until the session ends."""
+    return Table(df, name).read()
 
 
 def _drop(spark: SparkSession, path: str) -> None:

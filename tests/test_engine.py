@@ -111,6 +111,32 @@ def test_other_types_and_bulk(spark, engine):
     assert run(engine, get(HAS))[0]["Success"]["GetValue"][0]["value"] == {"INT": 5}
 
 
+def test_loads_add_and_tables_go(spark, engine, tmp_path):
+    """Loads add files to a table; of the tables that changes replace, only the last before stays."""
+    import os
+
+    from tesseral.engine import NAMED, write_rows
+    from tesseral.model import Identifier, Span
+    from tesseral.operators import region
+
+    rows = lambda x: region.literal(spark, [Identifier.new(8, Span(5, 5), Span(x, x), Span(y, y)) for y in range(0, 60, 2)]).selectExpr("*", "5 AS level")
+    for x in (1, 2):
+        engine.load("city", "risk", rows(x), "level")
+    table = engine.tables["city", "risk"]
+    assert len(table) == 1 and engine.cells("city", "risk").count() == 60
+    whole = {"SpaceTimeIdSet": [{"z": 0, "f": "Any", "x": "Any", "y": "Any", "i": 0, "t": "Any"}]}
+    (out,) = run(engine, {"PutValue": AT | {"range": whole, "value": {"INT": 5}}})
+    assert out["Error"].count("8/5/") == NAMED and " and 40 more" in out["Error"]
+    paths = [table[0].path]
+    for x in (1, 2):
+        run(engine, {"DeleteValue": AT | {"range": {"SpaceTimeIdSet": [{"z": 8, "f": "Any", "x": {"Single": x}, "y": {"LimitRange": [0, 29]}, "i": 0, "t": "Any"}]}}})
+        paths.append(engine.tables["city", "risk"][-1].path)
+    assert [os.path.exists(p.removeprefix("file:")) for p in paths] == [False, True, True]
+    write_rows(engine.get_value("city", "risk", whole, id_string=True), str(tmp_path / "rows"))
+    read = spark.read.json(str(tmp_path / "rows"))
+    assert read.count() == 30 and read.filter("spacetimeid = id_string and value = '5'").count() == 30
+
+
 def test_stream(spark, engine, tmp_path):
     from tesseral.sources import layers
     from tesseral.streaming.ingest import ingest
