@@ -30,8 +30,13 @@ def _levels(prefix: str) -> dict[str, Column]:
     return {"space": _bits(F.greatest(side["x"], side["y"])), "time": _bits(side["t"])}
 
 
+def _solid(df: DataFrame, prefix: str) -> DataFrame:
+    return df.filter(" and ".join(f"`{prefix}{d}_lo` < `{prefix}{d}_hi`" for d in _GRID))
+
+
 def shapes(df: DataFrame, prefix: str) -> list[tuple[int, int, int]]:
     """(level of space, level of time, number of boxes) of the pairs of levels that df's boxes have."""
+    df = _solid(df, prefix)
     return [tuple(r) for r in df.groupBy(*[c.alias(k) for k, c in _levels(prefix).items()]).count().collect()]
 
 
@@ -47,16 +52,17 @@ def _listed(df: DataFrame, prefix: str, others: list[tuple[int, int, int]], name
     return df
 
 
-def overlap_join(left: DataFrame, right: DataFrame, a: str = "a_", b: str = "b_", on: Column | None = None) -> DataFrame:
-    """Pairs of overlapping boxes; the columns of the two sides have the prefixes a and b already. ``on`` is one more condition.
+def overlap_join(left: DataFrame, right: DataFrame, a: str = "a_", b: str = "b_", on: Column | None = None, left_shapes: list | None = None, right_shapes: list | None = None) -> DataFrame:
+    """Pairs of overlapping boxes; the columns of the two sides have the prefixes a and b already. ``on`` is one more condition. The
+    shapes of a side, or of a table that holds it, can be given if they are known.
 
     Null bounds meet nothing; repeated boxes pair as often as they come. An empty side gives no pairs.
     """
     if not left.columns or not right.columns:
         raise ValueError("no columns")
-    solid = lambda df, p: df.filter(" and ".join(f"`{p}{d}_lo` < `{p}{d}_hi`" for d in _GRID))
-    left, right = solid(left, a), solid(right, b)
-    mine, other = shapes(left, a), shapes(right, b)
+    left, right = _solid(left, a), _solid(right, b)
+    mine = shapes(left, a) if left_shapes is None else left_shapes
+    other = shapes(right, b) if right_shapes is None else right_shapes
     one, two = _listed(left, a, other, "_l_"), _listed(right, b, mine, "_r_")
     condition = overlaps(a, b)
     for k in ("space", "time"):

@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from tesseral.functions.boxes import box_struct, clipped, coarsest_i, coarsest_z, contains, gcd, minus, shared_resolution, steps
 from tesseral.model import AXES, BOX, FINEST, FOREVER, SCHEMA, Identifier
-from tesseral.operators.join import overlap_join, prefixed
+from tesseral.operators.join import overlap_join, prefixed, shapes
 from tesseral.shared import written
 
 REGION = ["z", "i", *BOX]
@@ -89,18 +89,20 @@ def _subtract(a: DataFrame, b: DataFrame, earlier: bool) -> DataFrame:
     """
     pieces = a.withColumn("_of", box_struct())
     b = prefixed(_distinct(b), "b_")
+    cutters = shapes(b, "b_")
     done: list[DataFrame] = []
     while True:
         before = F.struct(*[f"b_{c}" for c in BOX]) < F.col("a__of") if earlier else None
         named = prefixed(pieces, "a_")
-        pairs = overlap_join(named, b, on=before)
+        mine = shapes(named, "a_")
+        pairs = overlap_join(named, b, on=before, left_shapes=mine, right_shapes=cutters)
         key = [f"a_{c}" for c in ("_of", *BOX)]
         whole = F.max(contains("b_", "a_"))
         counted = written(pairs.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), whole.alias("_gone"), *_bounds_inside()), "counted")
         met = written(named.join(counted, key, "left"), "met")
         done.append(met.filter("_n is null").select(*[F.col(f"a_{c}").alias(c) for c in ("_of", *REGION)]))
         folds = met.filter(F.col("_n").isNotNull() & ~F.col("_gone") & (F.col("_n") <= FOLD)).drop("_n", "_gone", *_INSIDE)
-        lists = overlap_join(folds, b, on=before).groupBy(*[f"a_{c}" for c in ("_of", *REGION)]).agg(F.collect_list(box_struct("b_")).alias("_bs"), F.max("b_z").alias("b_z"), F.collect_set("b_i").alias("_is"))
+        lists = overlap_join(folds, b, on=before, left_shapes=mine, right_shapes=cutters).groupBy(*[f"a_{c}" for c in ("_of", *REGION)]).agg(F.collect_list(box_struct("b_")).alias("_bs"), F.max("b_z").alias("b_z"), F.collect_set("b_i").alias("_is"))
         finest = F.aggregate("_is", F.col("a_i"), gcd)
         parts = lists.select(F.col("a__of").alias("_of"), F.greatest("a_z", "b_z").alias("z"), finest.alias("i"), F.explode(minus(box_struct("a_"), F.col("_bs"))).alias("_p"))
         done.append(written(parts.select("_of", "z", "i", "_p.*"), "parts"))
