@@ -200,6 +200,21 @@ def test_html(spark, labeller):
     assert all(r["n_chars"] == len(r["text"]) for r in out.collect())
 
 
+def test_empty_tables(spark, sf_dir, labeller):
+    """Empty tables give empty results with the usual columns; clashing columns of other meaning travel along or are replaced as said."""
+    none = spark.createDataFrame([], "doc_id long, text string, source string, lang string, html string, url string, findings int, n_chars int")
+    assert html_blocks.extract(none, labeller).count() == 0
+    assert secrets.scan(none, secrets.train(secrets.Lexicon.from_pieces(piece_file()), spark.createDataFrame([], "candidate string, before string, after string, path string, label int"))).count() == 0
+    vectors = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert ann.search(ann.index(vectors, Scratch(spark, "t").path("index")), vectors).count() == 0
+    assert quality_rules.score(none, None).count() == 0 and langid.train(none, piece_file()) is None
+    assert url_rules.judge(none.withColumnRenamed("doc_id", "page_id").withColumn("host", F.lit("h")).withColumn("_key", F.lit(1)), spark.createDataFrame(URL_RULES, "rule string, verdict string")).count() == 0
+    clash = spark.createDataFrame([(1, "a b c d e f", "x", "y"), (2, "a b c d e f", "x", "y")], "doc_id long, text string, node string, component_id string")
+    assert {r["component_id"] for r in ngram_join.link(clash).collect()} == {1}
+    assert ngram_join.first_of_each(clash).collect() == clash.filter("doc_id = 1").collect()
+    assert ngram_join.link(none).count() == 0
+
+
 def test_deep_markup(labeller):
     """Depth costs no more than length, and texts are the same as without it."""
     n = 20_000
