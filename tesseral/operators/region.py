@@ -48,8 +48,9 @@ def _distinct(df: DataFrame) -> DataFrame:
 
 
 def intersection(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Clipped boxes of all overlapping pairs."""
-    pairs = overlap_join(prefixed(a.select(*REGION), "a_"), prefixed(b.select(*REGION), "b_"))
+    """Clipped boxes of all overlapping pairs of different boxes: repeats go first, as n copies of a box by m of another make n * m pairs."""
+    a, b = (written(_distinct(df.select(*REGION)), "side") for df in (a, b))
+    pairs = overlap_join(prefixed(a, "a_"), prefixed(b, "b_"))
     return pairs.select(*shared_resolution("a_", "b_"), *clipped("a_", "b_"))
 
 

@@ -54,6 +54,14 @@ def test_set_operations(two):
     assert region.equal(a, b) == (ca == cb)
 
 
+def test_repeats_do_not_multiply_an_intersection(spark, two):
+    """Regions with each box a hundred times: as many pairs as without repeats, and the same cells."""
+    once = region.intersection(*two)
+    many = region.intersection(*[r.crossJoin(spark.range(100)).drop("id") for r in two])
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, once.collect())) and once.count() > 0
+    assert cells(many) == cells(two[0]) & cells(two[1])
+
+
 def test_disjoint(two):
     whole = region.disjoint(two[0])
     assert volume(whole) == len(cells(two[0])) == len(cells(whole))
