@@ -147,6 +147,37 @@ def test_join_in_time(spark, monkeypatch, few):
     assert "NestedLoop" not in pairs._jdf.queryExecution().toString()
 
 
+def test_a_box_is_listed_once_where_sizes_are_near(spark, sf_dir, monkeypatch):
+    """Line items meet orders of one to eight cells on one grid, not on one for each size: few rows are shuffled, and no pair is lost."""
+    from tesseral.functions.boxes import overlaps
+    from tesseral.operators import join
+    from tesseral.sources import layers
+
+    monkeypatch.setattr(join, "FEW", 0)
+    made, listed = [], join._listed
+    monkeypatch.setattr(join, "_listed", lambda *args: made.append(listed(*args)) or made[-1])
+    a, b = prefixed(layers.lineitem(spark, sf_dir), "a_"), prefixed(layers.orders(spark, sf_dir), "b_").filter("b_o_orderkey % 3 = 0")
+    pairs = overlap_join(a, b)
+    assert made[0].count() < 1.2 * a.count() and made[1].count() < 3.5 * b.count()
+    key = lambda df: sorted(map(tuple, df.select("a_l_orderkey", "a_l_linenumber", "a_x_lo", "a_t_lo", "b_o_orderkey").collect()))
+    assert key(pairs) == key(a.crossJoin(b).filter(overlaps("a_", "b_")))
+
+
+@pytest.mark.parametrize("more", [1, 10**40])
+def test_join_on_rounded_levels(spark, monkeypatch, more):
+    """Levels kept, or all rounded up to one, give the same pairs, unbounded boxes and heights below zero included."""
+    from tesseral.functions.boxes import overlaps
+    from tesseral.operators import join
+
+    monkeypatch.setattr(join, "FEW", 0)
+    monkeypatch.setattr(join, "MORE", more)
+    a = region.literal(spark, [*some(11, 20, 4), *some(12, 20, 6), Identifier.new(31, Span(-1, -1), Span(7, 7), Span(8, 8), 1, Span(5, 5))])
+    b = region.literal(spark, [*some(13, 20, 3), Identifier.new(0, Span(), Span(), Span()), Identifier.new(31, Span(-9, 9), Span(0, 7), Span(8, 9), 60, Span(0, 3))])
+    a, b = prefixed(a, "a_"), prefixed(b, "b_")
+    want = a.crossJoin(b).filter(overlaps("a_", "b_"))
+    assert sorted(map(tuple, overlap_join(a, b).collect())) == sorted(map(tuple, want.collect())) and want.count() > 50
+
+
 def test_parts_are_named(spark):
     """Every part of a cut box has a text that names it, at the finest resolution of what cut it."""
     row = region.literal(spark, [Identifier.new(2, Span(0, 0), Span(1, 1), Span(1, 1))]).withColumn("v", F.lit(7))
