@@ -34,6 +34,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -56,10 +57,14 @@ PAIRS_BELOW = 128
 FINEST = 99
 #: A signature that more sets of a slice of SLICE bytes hold is dealt to SALTS groups from then on.
 HEAVY, SLICE, SALTS = 64, 4 << 20, 64
+#: Signatures are sorted in buckets by their hash, one for so many shingles of the table; a bucket names a signature by 32 bits.
+BUCKET, LEAST_BUCKETS, MOST_BUCKETS = 1 << 19, 128, 65_535
 #: Sets that a task remembers having given the signatures of.
 REMEMBERED = 200_000
 #: Parts that a hub's comparisons are dealt to.
 HUB_SALTS = 32
+#: A-Z to a-z; bytes.split() then cuts at the separators of SPACED.
+LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -90,14 +95,8 @@ def _sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def word_digests(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit halves of a digest of each row's lower-cased words, with one blank between them."""
-    codes = SPACED[data]
-    word = codes > 0
-    keep = word.copy()
-    keep[1:] |= word[:-1]  # a word, and one separator after it
-    keep[offsets[:-1][np.diff(offsets) > 0]] = word[offsets[:-1][np.diff(offsets) > 0]]
-    text = np.where(word, codes - 1, 32).astype(np.uint8)[keep].tobytes()
-    at = np.concatenate((np.zeros(1, np.int64), np.cumsum(keep)))[offsets].tolist()
-    digests = b"".join(hashlib.blake2b(text[a:b].rstrip(b" "), digest_size=16).digest() for a, b in zip(at[:-1], at[1:], strict=True))
+    text, at = data.tobytes(), offsets.tolist()
+    digests = b"".join(hashlib.blake2b(b" ".join(text[a:b].translate(LOWER).split()), digest_size=16).digest() for a, b in zip(at[:-1], at[1:], strict=True))
     both = np.frombuffer(digests, U).reshape(-1, 2)
     return both[:, 0].copy(), both[:, 1].copy()
 
@@ -218,9 +217,10 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "node", "check", "sketch"])
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of (token, salt, node, space, spare); each task gives the signatures of a set once, however many copies it reads,
-    and deals those of a signature that many sets hold to SALTS groups after the first ones."""
+def _signatures(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows of (bucket, tokens, homes, nodes, spaces, spares), the signatures of a slice in a bucket; each task gives the signatures of a set
+    once, however many copies it reads, and deals those of a signature that many sets hold to SALTS buckets after the first ones: only
+    these have homes, the buckets that name them. Two signatures of one name only make more sets meet."""
     seen: set[int] = set()
     heavy = np.zeros(0, U)
     for batch in batches:
@@ -241,7 +241,10 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tokens, owner, space, spare = all_signatures(sets, at)
             if not len(tokens):
                 continue
-            order = np.argsort(tokens, kind="stable")
+            home = (((tokens >> U(32)) * U(buckets)) >> U(32)).astype(np.uint16)
+            tokens = (home.astype(U) << U(32)) | (tokens & U(0xFFFFFFFF))
+            spare = np.minimum(spare, 32_767).astype(np.int16)
+            order = np.argsort(tokens)
             ordered = tokens[order]
             begin = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
             count = np.diff(np.append(begin, len(tokens)))
@@ -249,10 +252,62 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             salted = np.zeros(len(tokens), bool)  # the rows keep the order of sets, in which they take less room
             salted[order] = np.repeat(np.isin(ordered[begin], heavy), count) | (nth >= HEAVY)
             heavy = np.union1d(heavy, ordered[begin[count > HEAVY]])
+            common = order[np.repeat(count > 1, count)]
+            common = common[np.lexsort((owner[common], tokens[common]))]
+            twice = owner[common[1:]][(tokens[common[1:]] == tokens[common[:-1]]) & (owner[common[1:]] == owner[common[:-1]])]
+            spare[np.isin(owner, twice)] = 0  # a set that holds two signatures of one name has fewer to share
             nodes = nodes[owner]
-            salt = np.where(salted, (nodes % U(SALTS)).astype(np.int8) + 1, 0).astype(np.int8)
-            columns = [tokens.view(np.int64), salt, nodes.view(np.int64), space, spare.astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "salt", "node", "space", "spare"])
+            away = (((mix(tokens ^ mix(nodes % U(SALTS)), 14) >> U(32)) * U(buckets)) >> U(32)).astype(np.uint16)
+            for chosen, bucket in ((~salted, home), (salted, away)):
+                order = np.flatnonzero(chosen)
+                if len(order):
+                    order = order[np.argsort(bucket[order], kind="stable")]
+                    bucket = bucket[order].astype(np.int32)
+                    begin = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+                    at = pa.array(np.append(begin, len(order)).astype(np.int32))
+                    homes = at if chosen is salted else pa.array(np.zeros(len(at), np.int32))
+                    lists = [pa.ListArray.from_arrays(at, pa.array(x[order])) for x in (tokens.astype(np.uint32).view(np.int32), nodes.view(np.int64), space, spare)]
+                    lists.insert(1, pa.ListArray.from_arrays(homes, pa.array(home[order].astype(np.int32) if chosen is salted else bucket[:0])))
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket[begin]), *lists], ["bucket", "token", "home", "node", "space", "spare"])
+
+
+def _shared(rows: pa.Table) -> pa.Table:
+    """Of a bucket, rows of (token, salted, node, space, spare, m): signatures that m >= 2 sets hold, and the salted ones.
+
+    Infrequent signatures only tell which sets to compare. Those of the same sets are given once, under a token that stands for these sets:
+    two copies of a long text share hundreds of signatures, all of one group.
+    """
+    lists = {c: rows.column(c).combine_chunks() for c in ("token", "home", "node", "space", "spare")}
+    token, home, node, space, spare = (x.flatten().to_numpy() for x in lists.values())
+    count = lists["token"].value_lengths().to_numpy()
+    salted = np.repeat(lists["home"].value_lengths().to_numpy() > 0, count)
+    named = np.repeat(rows.column("bucket").to_numpy().astype(U), count)
+    named[salted] = home
+    token, node = (named << U(32)) | token.view(np.uint32), node.view(U)
+    plain = np.flatnonzero(~salted)
+    order = plain[np.argsort(token[plain])]
+    new = np.ones(len(order) + 1, bool)  # and an end
+    new[1:-1] = token[order][1:] != token[order][:-1]
+    order = order[~(new[:-1] & new[1:])]  # the signatures that come once go before the rest is sorted by sets
+    order = order[np.lexsort((node[order], token[order]))]
+    t, v = token[order], node[order]
+    once = np.ones(len(order), bool)
+    once[1:] = (t[1:] != t[:-1]) | (v[1:] != v[:-1])  # a set comes once for each task that reads a copy of it
+    order, t, v = order[once], t[once], v[once]
+    begin = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1]))) if len(t) else np.zeros(0, np.int64)
+    count = np.diff(np.append(begin, len(t)))
+    group = np.zeros(len(begin), U) if not len(t) else mix(_sums(mix(v, 15), np.append(begin, len(t))) ^ count.astype(U), 16)
+    first = np.zeros(len(begin), bool)
+    first[np.unique(group, return_index=True)[1]] = True
+    chosen = (count > FREQUENT) | ((count > 1) & first)
+    m, seldom = np.repeat(count, count), np.repeat(count <= FREQUENT, count)
+    t = np.where(seldom, np.repeat(group, count), t)
+    chosen = np.repeat(chosen, count)
+    order, t, m = order[chosen], t[chosen], m[chosen]
+    heavy = np.flatnonzero(salted)
+    rest = np.concatenate((order, heavy))
+    columns = [np.concatenate((t, token[heavy])).view(np.int64), salted[rest], node[rest].view(np.int64), space[rest], spare[rest], np.concatenate((m, np.full(len(heavy), FREQUENT + 1))).astype(np.int64)]
+    return pa.Table.from_arrays([pa.array(c) for c in columns], ["token", "salted", "node", "space", "spare", "m"])
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,8 +326,7 @@ def _numbered(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
 def similar_texts(a: str, b: str) -> bool:
     """Exact: words get numbers, and equal sequences of 2, 4 and 5 words get equal numbers in turn."""
     known: dict[bytes, int] = {}
-    upper, lower = bytes(range(65, 91)), bytes(range(97, 123))
-    one, two = (_numbered((t or "").encode().translate(bytes.maketrans(upper, lower)).split(), known) for t in (a, b))
+    one, two = (_numbered((t or "").encode().translate(LOWER).split(), known) for t in (a, b))
     if min(len(one), len(two)) < WORDS:
         return len(one) > 0 and np.array_equal(one, two)  # a single shingle, or none, on one side: (1 of n >= 2 is under 0.75)
     both, cut = np.concatenate((one, two)), len(one)
@@ -324,22 +378,23 @@ def _sizes_agree(a: str, b: str) -> F.Column:
     return 100 * small >= SIMILARITY * large
 
 
-def _shared_signatures(docs: DataFrame, scratch: Scratch) -> DataFrame:
+def _shared_signatures(docs: DataFrame, shingles: int, scratch: Scratch) -> DataFrame:
     """Rows (token, node, space, often) of the signatures that two sets or more hold, without the frequent ones that a set can spare;
     often is the number of frequent signatures of the set in the space, and null for infrequent signatures."""
-    tokens = docs.select("text").mapInArrow(_signatures, "token long, salt byte, node long, space byte, spare int")
-    group = Window.partitionBy("token", "salt")
-    shared = tokens.select("*", F.count(F.lit(1)).over(group).alias("m"), F.min("node").over(group).alias("_low"), F.max("node").over(group).alias("_high"))
-    shared = shared.filter("_low < _high or salt > 0").select("token", "salt", "node", "space", "spare", F.when(F.col("salt") == 0, F.col("m")).otherwise(FREQUENT + 1).alias("m"))
+    buckets = min(max(shingles // BUCKET, LEAST_BUCKETS), MOST_BUCKETS)
+    lists = "bucket int, token array<int>, home array<int>, node array<long>, space array<byte>, spare array<short>"
+    tokens = docs.select("text").mapInArrow(partial(_signatures, buckets=buckets), lists)
+    shared = tokens.groupBy("bucket").applyInArrow(_shared, "token long, salted boolean, node long, space byte, spare short, m long")
     shared = scratch.write(shared, "shared")
-    heavy = broadcast_if_small(scratch.write(shared.filter("salt > 0").select("token").distinct(), "heavy"))
+    heavy = broadcast_if_small(scratch.write(shared.filter("salted").select("token").distinct(), "heavy"))
     often = shared.filter(F.col("m") > FREQUENT).join(heavy.withColumn("_heavy", F.lit(True)), "token", "left")
     often = often.withColumn("m", F.when(F.col("_heavy"), F.lit(2**62)).otherwise(F.col("m"))).dropDuplicates(["token", "node"])
     commonest = Window.partitionBy("node", "space").orderBy(F.col("m").desc(), F.col("token").desc())
     whole = Window.partitionBy("node", "space")
     often = often.select("*", F.row_number().over(commonest).alias("_nth"), F.count(F.lit(1)).over(whole).alias("often"))
     kept = often.filter(F.col("_nth") > F.col("spare")).select("token", "node", "space", "often")
-    seldom = shared.filter(F.col("m") <= FREQUENT).select("token", "node", "space", F.lit(None).cast("long").alias("often"))
+    seldom = shared.filter(F.col("m") <= FREQUENT).select("token", "node").distinct()
+    seldom = seldom.select("token", "node", F.lit(0).cast("byte").alias("space"), F.lit(None).cast("long").alias("often"))
     kept = scratch.write(seldom.unionByName(kept), "kept")
     scratch.drop("shared")
     return kept
@@ -382,7 +437,8 @@ def _linked(docs: DataFrame, scratch: Scratch, key: str, text: str) -> DataFrame
     sets = scratch.write(known.groupBy("node", "check", "n").agg(F.min("doc_id").alias("first"), F.first("sketch").alias("sketch")), "sets")
     docs = docs.filter("doc_id is not null")
 
-    kept = _shared_signatures(docs, scratch).join(sets.select("node", "first"), "node").drop("node")
+    shingles = keys.agg(F.sum("n")).first()[0] or 0
+    kept = _shared_signatures(docs, shingles, scratch).join(sets.select("node", "first"), "node").drop("node")
     kept = scratch.write(kept, "groups")
     scratch.drop("kept")
     hubs = kept.groupBy("token").agg(F.max(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "first")).alias("hub"))
@@ -450,6 +506,9 @@ def _pairs_by_difference(rows: DataFrame, docs: DataFrame, scratch: Scratch) ->
     often = apart.groupBy("cluster", "shingle").agg(F.count(F.lit(1)).alias("m"), (F.max("out") & (F.min("component") < F.max("component"))).alias("_open")).filter("m > 1")
     some = apart.join(often, ["cluster", "shingle"], "left").withColumn("m", F.coalesce("m", F.lit(1)))
     some = some.withColumn("_nth", F.row_number().over(Window.partitionBy("cluster", "y").orderBy("m", "shingle"))).filter("_open")
+    # similar sets' differences to the hub differ in size by no more than the sets, so either shares one of its n * (1 - t) / t + 1 rarest:
+    # what most sets of a cluster lack of the hub's is not joined
+    some = some.filter(SIMILARITY * (F.col("_nth") - 1) <= (100 - SIMILARITY) * F.col("n_y"))
     side = lambda *names: [F.col(c).alias(n) for c, n in zip(("y", "n_y", "size", "_nth", "component"), names, strict=True)]
     left = some.filter("out").select(F.col("cluster").alias("_h"), F.col("shingle").alias("_s"), *side("p", "_np", "_sp", "_kp", "_cp"))
     right = some.select("cluster", "shingle", *side("q", "_nq", "_sq", "_kq", "_cq"))
@@ -457,7 +516,8 @@ def _pairs_by_difference(rows: DataFrame, docs: DataFrame, scratch: Scratch) ->
     most = 2 * (100 + SIMILARITY)
     shared = (100 + SIMILARITY) * (F.col("_sp") + F.col("_sq")) - (100 - SIMILARITY) * (F.col("_np") + F.col("_nq"))
     among_rarest = (most * (F.col("_kp") - 1) <= most * F.col("_sp") - shared) & (most * (F.col("_kq") - 1) <= most * F.col("_sq") - shared)
-    pairs = left.join(right, (F.col("cluster") == F.col("_h")) & (F.col("shingle") == F.col("_s")) & (F.col("_cp") != F.col("_cq")) & among_rarest & _sizes_agree("_np", "_nq"))
+    near = (100 + SIMILARITY) * F.abs(F.col("_sp") - F.col("_sq")) <= (100 - SIMILARITY) * (F.col("_np") + F.col("_nq"))
+    pairs = left.join(right, near & (F.col("cluster") == F.col("_h")) & (F.col("shingle") == F.col("_s")) & (F.col("_cp") != F.col("_cq")) & among_rarest & _sizes_agree("_np", "_nq"))
     return pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
 
 

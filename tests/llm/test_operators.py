@@ -125,6 +125,29 @@ def test_signatures_of_similar_sets():
         assert kept[0] & kept[1], (len(x), len(y), common)
 
 
+def test_signatures_in_buckets():
+    """Copies that many tasks read don't make a signature frequent, two near copies give one group a bucket, and a signature that many sets
+    hold has one name in all the buckets that it is dealt to."""
+    r = random.Random(3)
+    base = [r.choice(WORDS) + str(i) for i in range(400)]
+    passage = " ".join(f"all{i}" for i in range(40))
+    near = [" ".join(base), " ".join(base[:200] + ["other"] + base[201:])]
+    many = [passage + " " + " ".join(f"w{k}-{i}" for i in range(5 + k % 30)) for k in range(300)]
+
+    def shared(texts: list[str], tasks: int) -> pa.Table:
+        batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+        rows = pa.concat_tables([pa.Table.from_batches(ngram_join._signatures(iter([batch]), 8)) for _ in range(tasks)])
+        return pa.concat_tables([ngram_join._shared(rows.filter(pa.array(rows["bucket"].to_numpy() == b))) for b in range(8)])
+
+    got = shared(near, 20)
+    assert set(got["m"].to_pylist()) == {2} and 2 <= got.num_rows <= 2 * 8 and len(set(got["token"].to_pylist())) == 1
+    got = shared(many, 2).to_pylist()
+    salted = {x["token"] for x in got if x["salted"]}
+    assert salted and salted <= {x["token"] for x in got if not x["salted"]}
+    for t in salted:
+        assert len({x["node"] for x in got if x["token"] == t}) > 64
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 100), (7, 7), (200, 100)]
     found = components.connected(spark.createDataFrame(links, "a long, b long"), Scratch(spark, "t"), "c")
